@@ -104,7 +104,7 @@ def land(sizes: list[float], chance: list[float]) -> list[float]:
 
 def _fly_block(seed: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("mark", "ascending"), ("doc_id", "ascending"), ("size", "ascending")])
+        table = table.sort_by([("size", "descending"), ("mark", "ascending"), ("doc_id", "ascending")])  # what stays open is small
         sizes, chance = table["size"].to_pylist(), table["chance"].to_pylist()
         sid, block = table["sid"][0].as_py(), table["block"][0].as_py()
         chance = fly(sizes, chance, random.Random(f"{seed}/{sid}/{block}"))

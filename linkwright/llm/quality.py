@@ -85,21 +85,16 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epoc
         s = np.where(np.abs(z[at]) > L1, np.sign(z[at]) * L1 - z[at], 0.0)
         return s / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
 
-    positive = sum(y for *_, y in rows)
-    # both labels weigh alike as far as this keeps the rarer one under three times its own weight
-    rarer = min(3.0, max(1.0, max(positive, len(rows) - positive) / max(1, min(positive, len(rows) - positive))))
     for epoch in range(epochs):
         for k in np.random.default_rng(epoch).permutation(len(rows)):
             at, x, y = rows[k]
             at, x = np.append(at, size - 1), np.append(x, 1.0)
             w = weights(at)
             p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
-            g = (p - y) * x * (rarer if (y == 1) == (positive * 2 < len(rows)) else 1.0)
-            total = np.zeros(0)
+            g = (p - y) * x
             if len(np.unique(at)) != len(at):
                 at, to = np.unique(at, return_inverse=True)
-                total = np.bincount(to, g)
-                g, w = total, weights(at)
+                g, w = np.bincount(to, g), weights(at)
             s = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
             z[at] += g - s * w
             n[at] += g * g
