@@ -1,0 +1 @@
+"""The workload is batch only: every operator is a lazy DataFrame transformation over whole tables."""
