@@ -29,8 +29,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that an earlier document has; documents of which nothing is left go."""
     cut = suffix_dedup.suffix_dedup(docs).where("n_removed = 0 or n_removed < n_bytes")
-    # a cut can leave part of a character, which decoding drops
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.expr("translate(decode(kept, 'UTF-8'), '�', '')"))
+    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
     return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +14,25 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1_000
 
 
+_shipped: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, which need not have it on their path."""
+    if spark.sparkContext.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="linkwright-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(spark.sparkContext.applicationId)
+
+
 def prepared(spark: SparkSession) -> None:
-    """A checkpoint folder (the cluster's, or a temporary one where none is set) and batches by bytes."""
+    """The package on the executors, a checkpoint folder (the cluster's, or a temporary one where none is set), bounded batches."""
+    _ship(spark)
     if not spark.sparkContext.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="linkwright-"))

@@ -450,7 +450,7 @@ def _cut(buckets: int, id_col: str, text_col: str, width: int, schema: pa.Schema
         entry_of[s.order] = np.repeat(np.arange(len(s.heads)), np.diff(np.append(s.heads, len(s.order))))
         doc, own = s.ids[found["row"]], code[entry_of]
         first = s.ids[found["row"][s.first]][entry_of]
-        whole = (own & COVERED).astype(bool) | ((own & FIRST).astype(bool) & (doc > first))
+        whole = (own & COVERED).astype(bool) | (doc > first)  # by another shard's document, or by one of this shard
         change = np.zeros(len(s.data) + 1, np.int32)
         spans = [(found["start"][whole], found["end"][whole])]
         for kind, blob in zip(verdicts["kind"].to_pylist(), verdicts["blob"].to_pylist(), strict=True):
@@ -476,19 +476,19 @@ def _cut(buckets: int, id_col: str, text_col: str, width: int, schema: pa.Schema
             n_spans.append(int((out[1:] & ~out[:-1]).sum() + out[:1].sum()))
             kept.append(left)
             digest.append(hashlib.sha256(left).hexdigest())
-        new = {"n_bytes": pa.array(np.diff(s.offsets), pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept": pa.array(kept, pa.binary()), "kept_sha256": pa.array(digest, pa.string())}
+        new = {"n_bytes": pa.array(np.diff(s.offsets), pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept": pa.array(kept, pa.binary()), "kept_text": pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()), "kept_sha256": pa.array(digest, pa.string())}
         return pa.table([new[k] if k in new else s.table[k] for k in schema.names], schema=schema)
 
     return run
 
 
 RESULT = T.StructType(
-    [*(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType()), T.StructField("kept_sha256", T.StringType())]
+    [*(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType()), T.StructField("kept_sha256", T.StringType())]
 )
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans, kept (the remaining bytes) and kept_sha256."""
+    """docs with n_bytes, n_removed, n_spans, kept (the remaining bytes), kept_text (these without parts of characters) and kept_sha256."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
