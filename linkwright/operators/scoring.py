@@ -47,4 +47,4 @@ def score_pairs(model: PipelineModel, *stages: DataFrame, keys: tuple[str, ...]
         union = union.unionByName(s, allowMissingColumns=True)
     counted = candidate_count(union, *keys)
     scored = model.transform(with_missing_flags(feature_columns(counted)))
-    return scored.withColumn("match_prob", vector_to_array("probability")[1]).select(*counted.columns, "match_prob")
+    return scored.withColumn("match_prob", vector_to_array("probability")[1]).select(*[f"`{c}`" for c in counted.columns], "match_prob")
