@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U64, group_bounds, ngrams, slices, text_bytes, words
+from .arrays import U64, group_bounds, group_starts, ngrams, slices, text_bytes, words
 from .frames import prepared
 
 OVERLAP = 0.8
 PART_OVERLAP = 0.5
 SHINGLE = 5
-CHUNK, BLOCK = 512, 64
+CHUNK, BLOCK = 512, 8
 K1, B = 1.2, 0.75
 
 
@@ -63,6 +63,7 @@ class Index:
         self.essential = np.ones(len(self.most), bool)
         self.essential[lightest] = False
         self.slack = float(self.most[lightest].sum())
+        self.block_slack = self.block_max[lightest].sum(axis=0)
         self.sets = [shingles(c) for c in items]
         half = [-(-len(c) // 2) for c in items]
         self.parts = [(shingles(c[:h]), shingles(c[h:])) for c, h in zip(items, half, strict=True)]
@@ -84,11 +85,19 @@ class Index:
         key = self.essential[term]
         size = len(self.vocabulary)
         pairs = np.unique(np.concatenate((window[key] * size + term[key], (window[key] - 1) * size + term[key])))
-        begin = [a for a, _ in group_bounds(pairs // size)]
-        if not begin:
+        if not len(pairs):
             return []
-        bound = np.add.reduceat(self.most[pairs % size], begin) + self.slack
-        for w in (pairs // size)[begin][bound >= 1 - 1e-9].tolist():
+        pairs = np.sort(pairs)
+        passage_of, terms_of = pairs // size, pairs % size
+        begin = group_starts(passage_of)
+        able = np.add.reduceat(self.most[terms_of], begin) + self.slack >= 1 - 1e-9
+        left = np.repeat(able, np.diff(np.append(begin, len(pairs))))
+        passage_of, terms_of = passage_of[left], terms_of[left]
+        if not len(passage_of):
+            return []
+        begin = group_starts(passage_of)
+        bound = np.add.reduceat(self.block_max[terms_of], begin, axis=0) + self.block_slack
+        for w in passage_of[begin][bound.max(axis=1) >= 1 - 1e-9].tolist():
             first, last = np.searchsorted(window, (w, w + 2))
             for a, b in group_bounds(row[first:last]):  # a stretch may end one text and begin another
                 r = int(row[first + a])
