@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkwright.llm import decontaminate, mixing, near_dedup, quality, suffix_dedup
-from linkwright.llm.frames import durable
+from linkwright.llm.frames import durable, release
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,4 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir))
+        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import durable
+from .frames import durable, release
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -28,3 +28,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if mark == last:
             return known.select(F.col("a").alias("node"), F.col("b").alias("root"))
         last = mark
+        release(known.sparkSession)  # the driver keeps nothing of earlier rounds

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import U64, lower_ascii, mix, ngrams, prefix_codes, slices, span_hashes, text_bytes
-from .frames import prepared
+from .frames import prepared, release
 
 BITS = 18
 TRAIN_ROWS = 6_000
@@ -151,6 +151,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     prepared(docs.sparkSession)
     docs = docs.select(*[c for c in docs.columns if c not in ("held_out", "score", "predicted") or c in (id_col, text_col)])
     raw = fit_quality(docs, labels, id_col, text_col, label_col)
+    release(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     scored = docs.mapInArrow(_score_task(raw, text_col, to_arrow_schema(schema)), schema)
     return scored.withColumn("held_out", held_out(id_col))
