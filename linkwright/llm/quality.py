@@ -139,7 +139,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     known = known.distinct().orderBy(F.xxhash64("_id"), "_id", "_y").limit(rows)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where(F.octet_length("_text") <= TRAIN_BYTES)
     # the sample has a fixed size, so it is broadcast and the documents are not shuffled
-    drawn = texts.join(F.broadcast(known), "_id").select("_text", "_y", "_id").repartitionByRange(1, "_id").sortWithinPartitions(F.xxhash64("_id"), "_id", "_y", F.xxhash64("_text"))
+    drawn = texts.join(F.broadcast(known), "_id").select("_text", "_y", "_id").repartition(1).sortWithinPartitions(F.xxhash64("_id"), "_id", "_y", F.xxhash64("_text"))
     found = drawn.select("_text", "_y").mapInArrow(_train_task, "weights binary").collect()
     return bytes(found[0][0]) if found else b""
 
