@@ -15,6 +15,9 @@ id reachable over links.
 4. Provisional groups hold every link, so links are confirmed inside them on the full sets. A
    group over ``GROUP`` classes or ``GROUP_SHINGLES`` shingles is cut by the forest's regions, at
    the depth that keeps them bounded.
+5. Regions over ``REGION`` classes were cut, so their pairs are settled exactly: the classes outside
+   a region's largest component so far are searched among all of the region's classes, in blocks of
+   bounded size, and links between different components are confirmed on full sets.
 
 A pair at the limit of 0.85 shares no region of four values in sixteen trees with a chance of
 7e-6, and less the more alike it is.
@@ -38,6 +41,7 @@ from .frames import durable, prepared, release
 TREES, DEPTH, LEAST_DEPTH = 16, 8, 4
 BINS = TREES * DEPTH
 REGION = 1_000
+PART, PART_SHINGLES = 500, 500_000
 GROUP, GROUP_SHINGLES = 1_000, 1_000_000
 LIKELY = 0.70
 SHARE = 85
@@ -252,6 +256,59 @@ def _confirm(batches):
         yield pa.RecordBatch.from_arrays([pa.array(e[0]), pa.array(e[1])], names=["a", "b"])
 
 
+def _strangers(batches):
+    """Links between a block's queries and its rows of other components, one for each two components."""
+    for t in _sorted_blocks(batches, ("block", "id", "root", "asks", "sig", "set"), 2_000):
+        block, ids, roots, asks = (np.asarray(t[c].to_numpy(zero_copy_only=False)) for c in ("block", "id", "root", "asks"))
+        sigs, blobs, edges = t["sig"], t["set"], []
+        for a, b in group_bounds(block):
+            ask, held = a + np.flatnonzero(asks[a:b]), a + np.flatnonzero(~asks[a:b])
+            sets = {k: np.cumsum(unpack(blobs[k].as_py(), U64)[0], dtype=U64) for k in (*ask.tolist(), *held.tolist())}
+            size = np.array([len(sets[k]) for k in held.tolist()], np.int64)
+            sig = np.frombuffer(b"".join(sigs[k].as_py() for k in held.tolist()), np.uint16).reshape(-1, BINS)
+            names, local = np.unique(roots[a:b], return_inverse=True)
+            groups = Groups(len(names))
+            for q in ask.tolist():
+                agree = (sig == np.frombuffer(sigs[q].as_py(), np.uint16)).sum(axis=1)
+                n = len(sets[q])
+                fits = (agree >= LIKELY * BINS) & (100 * np.minimum(size, n) >= SHARE * np.maximum(size, n))
+                for r in held[fits].tolist():
+                    x, y = int(local[q - a]), int(local[r - a])
+                    if groups.find(x) == groups.find(y):
+                        continue
+                    both = len(np.intersect1d(sets[q], sets[r], assume_unique=True))
+                    if 100 * both >= SHARE * (n + len(sets[r]) - both):
+                        groups.join(x, y)
+                        edges.append((ids[q], ids[r]))
+        e = np.array(edges, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
+
+
+def _rest(texts: DataFrame, reps: DataFrame, keys: DataFrame, joined: DataFrame) -> DataFrame | None:
+    """Links of regions over REGION classes that the cut blocks cannot have seen; None where there are none to seek."""
+    held = keys.groupBy("k4").agg(F.count("*").alias("n_k4")).where(f"n_k4 > {REGION}")
+    held = keys.select("id", "k4").join(held.select("k4"), "k4").join(joined.withColumnRenamed("node", "id"), "id", "left").join(reps.select("id", "n"), "id")
+    held = durable(held.select("id", "k4", F.coalesce("root", "id").alias("root"), "n"))
+    sums = held.groupBy("k4", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    most = F.max_by("root", F.struct("c", "root"))
+    sums = sums.groupBy("k4").agg(most.alias("main"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.max("c").alias("c_main"), F.max_by("s", F.struct("c", "root")).alias("s_main")).where("c > c_main")
+    parts = lambda c, s: F.greatest(F.ceil(c / PART), F.ceil(s / PART_SHINGLES))
+    sums = sums.select("k4", "main", parts(F.col("c"), F.col("s")).alias("rows"), parts(F.col("c") - F.col("c_main"), F.col("s") - F.col("s_main")).alias("queries"))
+    held = durable(held.join(sums, "k4"))
+    if held.isEmpty():
+        return None
+    sets = texts.join(held.select("id", "root").distinct(), "id").select("id", "root", "text").mapInArrow(_full_sets, "id long, root long, set binary")
+    sets = durable(sets.dropDuplicates(["id"]).join(reps.select("id", "sig"), "id"))
+    spread = lambda own, other: (F.pmod(F.xxhash64("id", "k4"), own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+    own, other = spread("queries", "rows")
+    asked = held.where("root != main").select("id", "k4", own.alias("q"), other.alias("r"), F.lit(True).alias("asks"))
+    own, other = spread("rows", "queries")
+    rows = held.select("id", "k4", other.alias("q"), own.alias("r"), F.lit(False).alias("asks"))
+    blocks = asked.unionByName(rows).select("id", "asks", F.xxhash64("k4", "q", "r").alias("block")).join(sets, "id")
+    blocks = blocks.select("block", "id", "root", "asks", "sig", "set")
+    return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_strangers, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of docs."""
     spark = docs.sparkSession
@@ -261,7 +318,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = digests.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
     reps = digests.join(classes, (digests.h1 == classes.h1) & (digests.h2 == classes.h2) & (digests.id == classes.rep)).select("id", "n", "sig").dropDuplicates(["id"])
     reps = durable(reps)
-    keys = reps.select("id", "sig").mapInArrow(_keys, "id long, k4 long, k6 long, k8 long")
+    keys = durable(reps.select("id", "sig").mapInArrow(_keys, "id long, k4 long, k6 long, k8 long"))
     regions = durable(_regions(keys))
     sorted_by_block = lambda f: f.repartition("block").sortWithinPartitions("block")
     likely = sorted_by_block(regions.join(reps, "id")).mapInArrow(_likely, "a long, b long")
@@ -278,6 +335,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     confirmed = sorted_by_block(blocks).mapInArrow(_confirm, "a long, b long")
     joined = connected_components(confirmed)
     release(spark)
+    links = _rest(texts, reps, keys, joined)
+    if links is not None:
+        joined = connected_components(links.unionByName(joined.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        release(spark)
     component = classes.join(joined, classes.rep == joined.node, "left").select("h1", "h2", F.coalesce("root", "rep").alias("component"))
     out = digests.select("id", "n", "h1", "h2").join(component, ["h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))

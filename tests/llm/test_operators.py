@@ -90,11 +90,31 @@ def shingle_set(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
 
 
-@pytest.mark.parametrize("bound", [1_000, 4])
-def test_near_dedup(spark, monkeypatch, bound):
+def families(seed, n=240):
+    """Texts of one long base: families near the limit of similarity, linked in chains or just not."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(5000)}" for _ in range(160)]
+    heads = []
+    for f in range(12):
+        head = list(base)
+        for k in range(f % 5):
+            head[(37 * k + 11 * f) % 160] = f"f{f}k{k}"
+        heads.append(head)
+    out = []
+    for i in range(n):
+        words = list(rng.choice(heads))
+        for k in range(rng.randint(0, 3)):
+            words[rng.randrange(160)] = f"v{i}k{k}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize(("make", "bound", "part"), [(made_texts, 1_000, 500), (made_texts, 4, 500), (families, 4, 500), (families, 1, 3)])
+def test_near_dedup(spark, monkeypatch, make, bound, part):
     for name in ("REGION", "GROUP"):
         monkeypatch.setattr(near_dedup, name, bound)
-    texts = made_texts(bound)
+    monkeypatch.setattr(near_dedup, "PART", part)
+    texts = make(bound)
     sets = [shingle_set(t) for t in texts]
     up = list(range(len(texts)))
 
