@@ -176,8 +176,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     total = int(replies.where(F.col("bucket") < 2 * buckets).agg(F.sum("total")).first()[0] or 0)
     for k in range(3, order + 1):
         release(spark)
-        more = shards.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(_next(k, buckets), _COUNTS)
-        replies = replies.unionByName(counted(more))
+        # no name is kept for the n-grams sent, so that their shuffle files can go before the scores
+        replies = replies.unionByName(counted(shards.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(_next(k, buckets), _COUNTS)))
     release(spark)
     schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
     scored = shards.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(_score(order, buckets, total, schema), "id long, n_words long, log_score double")
