@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from linkwright.llm import decontaminate, mixing, near_dedup, quality, suffix_dedup
 from linkwright.llm.frames import durable, release
 
+#: Near-duplicates share 80 hundredths of their word shingles (op7's own contract has 85).
+SHARE = 80
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
@@ -20,8 +23,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    """One document of each near-duplicate group, at the threshold of the stages on word shingles."""
+    kept = near_dedup.near_duplicates(docs, share=SHARE).where("kept and doc_id is not null").select("doc_id").distinct()
     out = docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
     return out.select(*docs.columns)
 

@@ -1,17 +1,18 @@
-"""MinHash near-dedup: documents whose sets of five-word shingles have a Jaccard index of 0.85.
+"""MinHash near-dedup: documents whose sets of five-word shingles have a Jaccard index of a given threshold.
 
-``near_duplicates(docs)`` gives each document its set size and component: documents are linked
-when 100 * intersection >= 85 * union of their full shingle sets, and the component is the least
-id reachable over links.
+``near_duplicates(docs, share=85)`` gives each document its set size and component: documents are
+linked when 100 * intersection >= share * union of their full shingle sets, and the component is
+the least id reachable over links. Trees, the signatures' likely agreement and the bound on sizes
+follow from the threshold (``Limit``).
 
 1. Documents with equal sets form a class; from here on only the class's least id counts.
 2. Each class has a MinHash signature (one permutation, empty bins filled by optimal
-   densification), read as an LSH forest: ``TREES`` trees, each a sequence of ``DEPTH`` values.
+   densification), read as an LSH forest: trees that are each a sequence of ``DEPTH`` values.
    Sorted by such a sequence, classes with a common prefix stand together. Prefixes of
    ``LEAST_DEPTH`` values make the regions; a region with more than ``REGION`` classes is cut at a
    greater depth, and at full depth dealt out at random, in each tree anew.
 3. Within a region the longest-common-prefix neighbours whose signatures agree in 0.70 of the
-   values join provisional groups (only edges that join two groups are kept).
+   values (at 0.85; less below) join provisional groups (only edges that join two groups are kept).
 4. Provisional groups hold every link, so links are confirmed inside them on the full sets. A
    group over ``GROUP`` classes or ``GROUP_SHINGLES`` shingles is cut by the forest's regions, at
    the depth that keeps them bounded.
@@ -19,8 +20,8 @@ id reachable over links.
    a region's largest component so far are searched among all of the region's classes, in blocks of
    bounded size, and links between different components are confirmed on full sets.
 
-A pair at the limit of 0.85 shares no region of four values in sixteen trees with a chance of
-7e-6, and less the more alike it is.
+A pair at the limit shares no region of four values with a chance of 7e-6 at 0.85 (16 trees) and
+3e-6 at 0.80 (24 trees), and less the more alike it is.
 
 Cases: NULL or empty text has an empty set and links with nothing; a NULL id stays alone with a
 NULL component and is kept; repeated ids count as one document for links; an empty table gives an
@@ -29,6 +30,10 @@ empty result.
 
 from __future__ import annotations
 
+import math
+from functools import partial
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,33 +43,58 @@ from .arrays import U64, group_bounds, group_starts, mix, pack, ranges, shingle_
 from .components import connected_components
 from .frames import durable, prepared, release
 
-TREES, DEPTH, LEAST_DEPTH = 16, 8, 4
-BINS = TREES * DEPTH
+DEPTH, LEAST_DEPTH = 8, 4
+#: The greatest chance that a pair at the limit shares no region, and the deviations that its signatures may fall short by.
+MISS, DEVIATIONS = 1e-5, 4.75
 REGION = 1_000
 PART, PART_SHINGLES = 500, 500_000
 GROUP, GROUP_SHINGLES = 1_000, 1_000_000
-LIKELY = 0.70
+#: The threshold of op7's contract, in hundredths.
 SHARE = 85
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """BINS values of 16 bits of a sorted, non-empty set of 64-bit hashes."""
-    bits = 64 - (BINS - 1).bit_length()
-    edges = np.searchsorted(shingles, np.arange(BINS, dtype=U64) << U64(bits))
+class Limit(NamedTuple):
+    """What follows from a threshold of share hundredths."""
+
+    share: int
+    trees: int
+    likely: float
+
+    @classmethod
+    def of(cls, share: int) -> Limit:
+        if not 0 < share <= 100:
+            raise ValueError(f"share is in hundredths, above 0 and up to 100: {share}")
+        s, trees = share / 100, 8
+        while (1 - s**LEAST_DEPTH) ** trees > MISS:
+            trees += 8
+        return cls(share, trees, s - DEVIATIONS * math.sqrt(s * (1 - s) / (trees * DEPTH)))
+
+    @property
+    def bins(self) -> int:
+        return self.trees * DEPTH
+
+    def alike(self, agree: np.ndarray, n, m) -> np.ndarray:
+        """Whether pairs of sets of n and m shingles can be links, by agreeing values and by sizes."""
+        return (agree >= self.likely * self.bins) & (100 * np.minimum(n, m) >= self.share * np.maximum(n, m))
+
+
+def signature(shingles: np.ndarray, bins: int) -> np.ndarray:
+    """bins values of 16 bits of a sorted, non-empty set of 64-bit hashes."""
+    edges = np.searchsorted(shingles, np.array([(k << 64) // bins for k in range(bins)], U64))
     ends = np.append(edges[1:], len(shingles))
     full = ends > edges
-    out = np.zeros(BINS, U64)
+    out = np.zeros(bins, U64)
     out[full] = shingles[edges[full]]
     empty, attempt = np.flatnonzero(~full), 0
     while len(empty):
-        donor = (mix(empty.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(attempt)) % U64(BINS)).astype(np.int64)
+        donor = (mix(empty.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(attempt)) % U64(bins)).astype(np.int64)
         got = full[donor]
         out[empty[got]] = out[donor[got]]
         empty, attempt = empty[~got], attempt + 1
     return (mix(out) & U64(0xFFFF)).astype(np.uint16)
 
 
-def _digests(batches):
+def _digests(batches, limit: Limit):
     """Id, set size, hash of the set, signature."""
     for batch in batches:
         ids = batch.column(0)
@@ -79,25 +109,26 @@ def _digests(batches):
                     pa.array([len(x) for x in sets], pa.int64()),
                     pa.array(np.array([s[0] for s in sums], U64).view(np.int64)),
                     pa.array(np.array([s[1] for s in sums], U64).view(np.int64)),
-                    pa.array([signature(x).tobytes() if len(x) else b"" for x in sets], pa.binary()),
+                    pa.array([signature(x, limit.bins).tobytes() if len(x) else b"" for x in sets], pa.binary()),
                 ],
                 names=["id", "n", "h1", "h2", "sig"],
             )
 
 
-def _keys(batches):
+def _keys(batches, limit: Limit):
     """One row for each class and tree: the prefix at three depths."""
+    trees = limit.trees
     for batch in batches:
         ids = np.asarray(batch.column(0))
         if not len(ids):
             continue
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, TREES, DEPTH).astype(U64)
-        code = np.tile(mix(np.arange(1, TREES + 1, dtype=U64)), (len(ids), 1))
+        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, trees, DEPTH).astype(U64)
+        code = np.tile(mix(np.arange(1, trees + 1, dtype=U64)), (len(ids), 1))
         at = {}
         for d in range(DEPTH):
             code = mix(code + sig[:, :, d] + U64(1))
             at[d + 1] = code.ravel().view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, TREES)), *(pa.array(at[d]) for d in (LEAST_DEPTH, (LEAST_DEPTH + DEPTH) // 2, DEPTH))], names=["id", "k4", "k6", "k8"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, trees)), *(pa.array(at[d]) for d in (LEAST_DEPTH, (LEAST_DEPTH + DEPTH) // 2, DEPTH))], names=["id", "k4", "k6", "k8"])
 
 
 def _regions(keys: DataFrame) -> DataFrame:
@@ -170,16 +201,16 @@ def _sorted_blocks(batches, columns: tuple[str, ...], most: int):
         yield table(held)
 
 
-def _likely(batches):
+def _likely(batches, limit: Limit):
     """Edges that join classes of a region whose signatures agree well enough."""
     for t in _sorted_blocks(batches, ("block", "id", "n", "sig"), 4_000):
         block, ids, size = (np.asarray(t[c]) for c in ("block", "id", "n"))
         names, local = np.unique(ids, return_inverse=True)
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(-1, BINS)
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(-1, limit.bins)
         groups, edges = Groups(len(names)), []
 
         def joined(a, b, agree):
-            fits = (agree >= LIKELY * BINS) & (100 * np.minimum(size[a], size[b]) >= SHARE * np.maximum(size[a], size[b]))
+            fits = limit.alike(agree, size[a], size[b])
             for x, y in zip(local[a[fits]].tolist(), local[b[fits]].tolist(), strict=True):
                 if groups.join(x, y):
                     edges.append((x, y))
@@ -215,7 +246,7 @@ def _full_sets(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(sets, pa.binary())], names=["id", "root", "set"])
 
 
-def linked(sets: list[np.ndarray]) -> np.ndarray:
+def linked(sets: list[np.ndarray], share: int) -> np.ndarray:
     """Of each set, the first set that it is joined with by links (exact, on full sets)."""
     sizes = np.array([len(s) for s in sets], np.int64)
     groups, own = Groups(len(sets)), np.repeat(np.arange(len(sets)), sizes)
@@ -229,7 +260,7 @@ def linked(sets: list[np.ndarray]) -> np.ndarray:
         mine = number[starts[i] : starts[i] + sizes[i]]
         mine = mine[shared[mine]]
         both = np.bincount(holders[ranges(first[mine], first[mine + 1] - first[mine])], minlength=len(sets))
-        near = np.flatnonzero(100 * both >= SHARE * (sizes[i] + sizes - both))
+        near = np.flatnonzero(100 * both >= share * (sizes[i] + sizes - both))
         for j in near.tolist():
             if groups.find(j) != root:
                 groups.join(i, j)
@@ -239,7 +270,7 @@ def linked(sets: list[np.ndarray]) -> np.ndarray:
     return groups.roots()
 
 
-def _confirm(batches):
+def _confirm(batches, limit: Limit):
     """Links within blocks, as edges to the least id of each joined group."""
     for t in _sorted_blocks(batches, ("block", "id", "set"), 2_000):
         block, ids, blobs = np.asarray(t["block"]), np.asarray(t["id"]), t["set"].to_pylist()
@@ -249,14 +280,14 @@ def _confirm(batches):
                 continue
             _, only = np.unique(ids[a:b], return_index=True)
             sets = [np.cumsum(unpack(blobs[a + k], U64)[0], dtype=U64) for k in only.tolist()]
-            root = linked(sets)
+            root = linked(sets, limit.share)
             own = ids[a:b][only]
             out.append(np.stack((own, own[root]))[:, root != np.arange(len(root))])
         e = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(e[0]), pa.array(e[1])], names=["a", "b"])
 
 
-def _strangers(batches):
+def _strangers(batches, limit: Limit):
     """Links between a block's queries and its rows of other components, one for each two components."""
     for t in _sorted_blocks(batches, ("block", "id", "root", "asks", "sig", "set"), 2_000):
         block, ids, roots, asks = (np.asarray(t[c].to_numpy(zero_copy_only=False)) for c in ("block", "id", "root", "asks"))
@@ -265,26 +296,26 @@ def _strangers(batches):
             ask, held = a + np.flatnonzero(asks[a:b]), a + np.flatnonzero(~asks[a:b])
             sets = {k: np.cumsum(unpack(blobs[k].as_py(), U64)[0], dtype=U64) for k in (*ask.tolist(), *held.tolist())}
             size = np.array([len(sets[k]) for k in held.tolist()], np.int64)
-            sig = np.frombuffer(b"".join(sigs[k].as_py() for k in held.tolist()), np.uint16).reshape(-1, BINS)
+            sig = np.frombuffer(b"".join(sigs[k].as_py() for k in held.tolist()), np.uint16).reshape(-1, limit.bins)
             names, local = np.unique(roots[a:b], return_inverse=True)
             groups = Groups(len(names))
             for q in ask.tolist():
                 agree = (sig == np.frombuffer(sigs[q].as_py(), np.uint16)).sum(axis=1)
                 n = len(sets[q])
-                fits = (agree >= LIKELY * BINS) & (100 * np.minimum(size, n) >= SHARE * np.maximum(size, n))
+                fits = limit.alike(agree, size, n)
                 for r in held[fits].tolist():
                     x, y = int(local[q - a]), int(local[r - a])
                     if groups.find(x) == groups.find(y):
                         continue
                     both = len(np.intersect1d(sets[q], sets[r], assume_unique=True))
-                    if 100 * both >= SHARE * (n + len(sets[r]) - both):
+                    if 100 * both >= limit.share * (n + len(sets[r]) - both):
                         groups.join(x, y)
                         edges.append((ids[q], ids[r]))
         e = np.array(edges, np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
 
 
-def _rest(texts: DataFrame, reps: DataFrame, keys: DataFrame, joined: DataFrame) -> DataFrame | None:
+def _rest(texts: DataFrame, reps: DataFrame, keys: DataFrame, joined: DataFrame, limit: Limit) -> DataFrame | None:
     """Links of regions over REGION classes that the cut blocks cannot have seen; None where there are none to seek."""
     held = keys.groupBy("k4").agg(F.count("*").alias("n_k4")).where(f"n_k4 > {REGION}")
     held = keys.select("id", "k4").join(held.select("k4"), "k4").join(joined.withColumnRenamed("node", "id"), "id", "left").join(reps.select("id", "n"), "id")
@@ -306,22 +337,22 @@ def _rest(texts: DataFrame, reps: DataFrame, keys: DataFrame, joined: DataFrame)
     rows = held.select("id", "k4", other.alias("q"), own.alias("r"), F.lit(False).alias("asks"))
     blocks = asked.unionByName(rows).select("id", "asks", F.xxhash64("k4", "q", "r").alias("block")).join(sets, "id")
     blocks = blocks.select("block", "id", "root", "asks", "sig", "set")
-    return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_strangers, "a long, b long")
+    return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(partial(_strangers, limit=limit), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row of docs."""
-    spark = docs.sparkSession
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE) -> DataFrame:
+    """(id, n_shingles, component_id, kept) of every row of docs; share: the threshold in hundredths."""
+    spark, limit = docs.sparkSession, Limit.of(share)
     prepared(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    digests = durable(texts.mapInArrow(_digests, "id long, n long, h1 long, h2 long, sig binary"))
+    digests = durable(texts.mapInArrow(partial(_digests, limit=limit), "id long, n long, h1 long, h2 long, sig binary"))
     classes = digests.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
     reps = digests.join(classes, (digests.h1 == classes.h1) & (digests.h2 == classes.h2) & (digests.id == classes.rep)).select("id", "n", "sig").dropDuplicates(["id"])
     reps = durable(reps)
-    keys = durable(reps.select("id", "sig").mapInArrow(_keys, "id long, k4 long, k6 long, k8 long"))
+    keys = durable(reps.select("id", "sig").mapInArrow(partial(_keys, limit=limit), "id long, k4 long, k6 long, k8 long"))
     regions = durable(_regions(keys))
     sorted_by_block = lambda f: f.repartition("block").sortWithinPartitions("block")
-    likely = sorted_by_block(regions.join(reps, "id")).mapInArrow(_likely, "a long, b long")
+    likely = sorted_by_block(regions.join(reps, "id")).mapInArrow(partial(_likely, limit=limit), "a long, b long")
     groups = connected_components(likely)
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root")).distinct()
     release(spark)
@@ -332,10 +363,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = sets.join(groups.where("not big").select("id"), "id", "left_semi")
     cut = regions.join(groups.where("big").select("id"), "id", "left_semi").distinct()
     blocks = whole.select("block", "id", "set").unionByName(cut.join(sets.select("id", "set"), "id").select("block", "id", "set"))
-    confirmed = sorted_by_block(blocks).mapInArrow(_confirm, "a long, b long")
+    confirmed = sorted_by_block(blocks).mapInArrow(partial(_confirm, limit=limit), "a long, b long")
     joined = connected_components(confirmed)
     release(spark)
-    links = _rest(texts, reps, keys, joined)
+    links = _rest(texts, reps, keys, joined, limit)
     if links is not None:
         joined = connected_components(links.unionByName(joined.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         release(spark)
@@ -349,7 +380,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def query(spark, sf_dir: str) -> DataFrame:
     from .frames import documents
 
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir), share=SHARE)
 
 
 SQL = r"""

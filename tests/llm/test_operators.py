@@ -316,3 +316,31 @@ def test_pipeline_stages(spark):
     mixed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert mixed.count() == len(after) and mixed.columns == ["doc_id", "size", "source_size", "target", "taken"]
     assert docs.where(F.col("n_chars") != F.length("text")).count() == 0
+
+
+@pytest.mark.parametrize("make", [made_texts, families])
+def test_near_dedup_stage_by_brute_force_at_080(spark, make):
+    base = [f"b{k}" for k in range(60)]
+    texts = [*make(8), " ".join(base), " ".join(base[:48] + ["new"] + base[49:])]  # the last two stand at 51 / 61 = 0.836
+    sets = [shingle_set(t) for t in texts]
+    up = list(range(len(texts)))
+
+    def find(x):
+        return x if up[x] == x else find(up[x])
+
+    between = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                between += 100 * len(sets[i] & sets[j]) < 85 * len(sets[i] | sets[j])
+                a, b = sorted((find(i), find(j)))
+                up[b] = a
+    got = {r.doc_id for r in corpus_pipeline.one_of_each(spark, frame(spark, texts), SF).collect()}
+    assert between and got == {i for i in range(len(up)) if find(i) == i}
+
+
+def test_near_dedup_limits():
+    for share in (80, 85):
+        limit = near_dedup.Limit.of(share)
+        assert (1 - (share / 100) ** near_dedup.LEAST_DEPTH) ** limit.trees < 1e-5
+    assert near_dedup.Limit.of(85)[:2] == (85, 16) and near_dedup.Limit.of(80)[:2] == (80, 24)
