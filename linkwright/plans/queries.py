@@ -198,8 +198,10 @@ def candidate_count_n(spark, sf_dir):
     return _scored(spark, sf_dir).select("npi", "year", "LALVOTERID", "n")
 
 
-def _labelled(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
+def _labelled(spark, sf_dir, lines: int | None = None):
+    line = table(spark, sf_dir, "lineitem")
+    if lines:
+        line = line.where(F.col("l_linenumber") <= lines)
     return scoring.candidate_count(line, "l_orderkey").select(
         "l_orderkey",
         "l_linenumber",
@@ -215,14 +217,18 @@ def _labelled(spark, sf_dir):
 
 
 def feature_matrix(spark, sf_dir):
-    return scoring.feature_columns(_labelled(spark, sf_dir)).select("l_orderkey", "l_linenumber", *scoring.PREDICTORS)
+    return scoring.feature_columns(_labelled(spark, sf_dir, 3)).select("l_orderkey", "l_linenumber", *scoring.PREDICTORS)
+
 
+def rf_score_pairs(spark, sf_dir, training_rows: int = 5_000, trees: int = 30):
+    """match_prob of every lineitem row, n being counted over all rows of its order.
 
-def rf_score_pairs(spark, sf_dir):
+    training_rows: the most rows that the forest is fitted on, those first by a hash of their key
+    (a training set has a fixed size); trees: the forest's size.
+    """
     rows = _labelled(spark, sf_dir)
-    # a training set has a fixed size; the forest is fitted on the rows that come first by a hash of their key
-    train = sampling.draw(rows, 5_000, 1, "l_orderkey", "l_linenumber")
-    scored = scoring.score_pairs(scoring.train_forest(train, trees=30), rows.drop("n"), keys=("l_orderkey",))
+    train = sampling.draw(rows, training_rows, 1, "l_orderkey", "l_linenumber")
+    scored = scoring.score_pairs(scoring.train_forest(train, trees=trees), rows.drop("n"), keys=("l_orderkey",))
     return scored.select("l_orderkey", "l_linenumber", "n", F.round("match_prob", 9).alias("match_prob"))
 
 

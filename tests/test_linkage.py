@@ -232,3 +232,14 @@ def test_queries_match_their_sql(spark):
         have = sorted(str(tuple(number(r[c]) for c in names)) for r in got.collect())
         want = sorted(str(tuple(map(number, r))) for r in db.sql(f"select {', '.join(names)} from ({sql})").fetchall())
         assert have == want, name
+
+
+def test_forest_scores_every_row(spark):
+    from linkwright.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    line = spark.read.parquet(f"{sf}/lineitem.parquet")
+    sizes = {r.l_orderkey: r["count"] for r in line.groupBy("l_orderkey").count().collect()}
+    got = queries.rf_score_pairs(spark, sf, training_rows=500, trees=3).collect()
+    assert sorted((r.l_orderkey, r.l_linenumber) for r in got) == rows(line, "l_orderkey", "l_linenumber")
+    assert all(r.n == sizes[r.l_orderkey] and 0 <= r.match_prob <= 1 for r in got) and max(r.n for r in got) > 3
