@@ -9,8 +9,10 @@ article is still the article of its page.
 Pages without such a mark are settled by the host's suffix array: the token streams of the host's
 open pages are concatenated, common prefixes of neighbouring suffixes show the substrings of
 ``REPEAT`` tokens or more that stand on ``PAGES`` or more distinct pages, tokens covered by them are
-boilerplate and go, and unique runs stay. A host is dealt by a hash of the page into groups of about
-``HOST_PAGES`` pages, each with a suffix array of its own.
+boilerplate and go, and unique runs stay. A host of more than ``HOST_PAGES`` pages is dealt by a hash
+of the page into parts: each part counts its distinct pages by ``REPEAT``-token window (64-bit hashes),
+the counts are summed over the host, and the windows of ``PAGES`` pages or more go back to the parts
+that hold them. What is removed is thus the same however a host is dealt.
 
 Within a block, white space becomes one space; blocks are joined by one newline in page order.
 Cases: NULL or empty html gives the empty text; broken markup is read as far as it goes, an unclosed
@@ -20,6 +22,7 @@ host's repeats; input columns named as an output column are replaced.
 
 from __future__ import annotations
 
+import hashlib
 import html as references
 import re
 
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+from .arrays import U64, mix
 from .frames import durable, prepared
 from .suffix_dedup import common_prefixes, suffix_array
 
@@ -181,6 +185,18 @@ def repeated(streams: list[np.ndarray], least: int = REPEAT, pages: int = PAGES)
     return [covered[e - n - 1 : e - 1] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
 
 
+def without(blocks: list[str], gone: np.ndarray) -> str:
+    """A page's text without the tokens of its stream that are gone."""
+    at, kept = 0, []
+    for block in blocks:
+        tokens = block.split()
+        left = [w for w, g in zip(tokens, gone[at : at + len(tokens)].tolist(), strict=True) if not g]
+        at += len(tokens) + 1
+        if left:
+            kept.append(" ".join(left))
+    return "\n".join(kept)
+
+
 def unique_text(pages: list[list[str]]) -> list[str]:
     """The texts of a host's open pages without what their token streams repeat."""
     number: dict[str, int] = {}
@@ -194,20 +210,50 @@ def unique_text(pages: list[list[str]]) -> list[str]:
     first = [seen.setdefault(s.tobytes(), k) for k, s in enumerate(streams)]
     only = sorted(set(first))
     marks = dict(zip(only, repeated([streams[k] for k in only]), strict=True))
+    return [without(blocks, marks[k]) for blocks, k in zip(pages, first, strict=True)]
+
+
+def window_hashes(texts: list[str], least: int = REPEAT) -> list[np.ndarray]:
+    """The hash of every string of ``least`` tokens of each text's stream; equal in all parts of a host."""
+    number: dict[str, int] = {}
     out = []
-    for blocks, k in zip(pages, first, strict=True):
-        at, kept = 0, []
-        for block in blocks:
-            tokens = block.split()
-            gone = marks[k][at : at + len(tokens)]
-            at += len(tokens) + 1
-            left = [w for w, g in zip(tokens, gone.tolist(), strict=True) if not g]
-            if left:
-                kept.append(" ".join(left))
-        out.append("\n".join(kept))
+    for text in texts:
+        row = []
+        for block in text.split("\n"):
+            for w in block.split():
+                if w not in number:
+                    number[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+                row.append(number[w])
+            row.append(1)  # 1 ends a block
+        stream = np.array(row, U64)
+        code = np.zeros(max(0, len(stream) - least + 1), U64)
+        for k in range(least):
+            code = mix(code + stream[k : k + len(code)] + U64(1))
+        out.append(code.view(np.int64))
     return out
 
 
+def _windows(table: pa.Table) -> pa.Table:
+    """A part's windows, each with its number of distinct pages."""
+    found = [np.unique(w) for w in window_hashes(list(dict.fromkeys(table["text"].to_pylist())))]
+    code, n = np.unique(np.concatenate(found), return_counts=True)
+    host, part = (pa.array([table[c][0].as_py()] * len(code), t) for c, t in (("_host", pa.string()), ("_part", pa.int64())))
+    return pa.table({"_host": host, "_part": part, "window": code, "pages": n.astype(np.int64)})
+
+
+def _settle_part(table: pa.Table, common: pa.Table) -> pa.Table:
+    """A part's pages without the windows that are common in the host."""
+    known, texts = np.sort(common["window"].to_numpy()), table["text"].to_pylist()
+    out = []
+    for text, code in zip(texts, window_hashes(texts), strict=True):
+        change = np.zeros(len(code) + REPEAT + 1, np.int64)
+        begin = np.flatnonzero(np.isin(code, known))
+        np.add.at(change, begin, 1)
+        np.add.at(change, begin + REPEAT, -1)
+        out.append(without(text.split("\n"), np.cumsum(change) > 0))
+    return _with_texts(table, out)
+
+
 def _parse(html_col: str, url_col: str, schema: pa.Schema):
     def run(batches):
         for batch in batches:
@@ -223,7 +269,10 @@ def _parse(html_col: str, url_col: str, schema: pa.Schema):
 
 
 def _settle(table: pa.Table) -> pa.Table:
-    texts = unique_text([t.split("\n") for t in table["text"].to_pylist()])
+    return _with_texts(table, unique_text([t.split("\n") for t in table["text"].to_pylist()]))
+
+
+def _with_texts(table: pa.Table, texts: list[str]) -> pa.Table:
     table = table.set_column(table.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
     return table.set_column(table.schema.get_field_index("n_chars"), "n_chars", pa.array([len(t) for t in texts], pa.int64()))
 
@@ -239,9 +288,14 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     parsed = durable(pages.mapInArrow(_parse(html_col, url_col, to_arrow_schema(schema)), schema))
     settled, rest = parsed.where("_host is null"), parsed.where("_host is not null")
     sizes = rest.groupBy("_host").agg(F.ceil(F.count("*") / HOST_PAGES).alias("_parts"))
-    rest = rest.join(sizes, "_host").withColumn("_part", F.pmod(F.xxhash64("text"), "_parts")).drop("_parts")
-    done = rest.groupBy("_host", "_part").applyInArrow(_settle, rest.schema)
-    return settled.drop("_host").unionByName(done.drop("_host", "_part"))
+    rest = rest.join(sizes, "_host").withColumn("_part", F.pmod(F.xxhash64("text"), "_parts"))
+    small, large = rest.where("_parts = 1").drop("_parts"), rest.where("_parts > 1").drop("_parts")
+    done = small.groupBy("_host", "_part").applyInArrow(_settle, small.schema)
+    windows = durable(large.groupBy("_host", "_part").applyInArrow(_windows, "_host string, _part long, window long, pages long"))
+    common = windows.groupBy("_host", "window").agg(F.sum("pages").alias("n")).where(F.col("n") >= PAGES)
+    common = windows.join(common, ["_host", "window"], "left_semi").select("_host", "_part", "window")
+    dealt = large.groupBy("_host", "_part").cogroup(common.groupBy("_host", "_part")).applyInArrow(_settle_part, large.schema)
+    return settled.drop("_host").unionByName(done.unionByName(dealt).drop("_host", "_part"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

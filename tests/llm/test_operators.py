@@ -344,3 +344,17 @@ def test_near_dedup_limits():
         limit = near_dedup.Limit.of(share)
         assert (1 - (share / 100) ** near_dedup.LEAST_DEPTH) ** limit.trees < 1e-5
     assert near_dedup.Limit.of(85)[:2] == (85, 16) and near_dedup.Limit.of(80)[:2] == (80, 24)
+
+
+def test_html_repeats_do_not_depend_on_host_size(spark, monkeypatch):
+    # one host: a menu on every page, another on five of sixty, a copied page, and a short one; each page has words of its own
+    body = lambda k: " ".join(f"w{k}n{j}" for j in range(k % 12))
+    section = "<div>section menu a b c d e f g h</div>"
+    pages = [(k, "http://c.example/", f"<div>all pages share this very line of nine words</div>{section if k % 12 == 3 else ''}<p>{body(k)}</p>") for k in range(60)]
+    pages += [(60, "http://c.example/", pages[5][2]), (61, "http://c.example/", "<p>short</p>"), (62, "http://d.example/", section)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    whole = {r.page_id: r.text for r in html_text.extract_text(frame).collect()}
+    assert all(whole[k] == body(k) for k in range(60)) and whole[60] == whole[5] and whole[61] == "short" and "section" in whole[62]
+    monkeypatch.setattr(html_text, "HOST_PAGES", 2)
+    dealt = html_text.extract_text(frame).collect()
+    assert len(dealt) == 63 and {r.page_id: r.text for r in dealt} == whole and all(r.n_chars == len(r.text) for r in dealt)
