@@ -42,7 +42,7 @@ HOST_PAGES = 1_000
 
 #: Elements of HTML by what they are to a reader.
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template"))
-HIDDEN = frozenset(("head", "nav", "header", "footer", "aside", "form", "button", "select", "option", "dialog", "svg", "canvas", "object", "menu", "figcaption", "audio", "video", "math", "datalist", "label", "fieldset"))
+HIDDEN = frozenset(("head", "nav", "header", "footer", "aside", "form", "button", "select", "option", "dialog", "svg", "canvas", "object", "menu", "audio", "video", "datalist", "label", "fieldset"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 BLOCKS = frozenset(("address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"))
 MARKS = frozenset(

@@ -358,3 +358,9 @@ def test_html_repeats_do_not_depend_on_host_size(spark, monkeypatch):
     monkeypatch.setattr(html_text, "HOST_PAGES", 2)
     dealt = html_text.extract_text(frame).collect()
     assert len(dealt) == 63 and {r.page_id: r.text for r in dealt} == whole and all(r.n_chars == len(r.text) for r in dealt)
+
+
+def test_html_keeps_captions_and_formulas():
+    page = "<article><p>Before <math><mi>x</mi><mo>=</mo><mn>2</mn></math> after</p><figure><img src='a'><figcaption>A <i>fine</i> caption</figcaption></figure><p>End</p><nav>menu</nav></article>"
+    blocks, settled = html_text.page_blocks(page)
+    assert settled and " ".join(blocks).split() == "Before x = 2 after A fine caption End".split()  # an inline end tag ends a block
