@@ -5,7 +5,8 @@ linked when 100 * intersection >= share * union of their full shingle sets, and
 the least id reachable over links. Trees, the signatures' likely agreement and the bound on sizes
 follow from the threshold (``Limit``).
 
-1. Documents with equal sets form a class; from here on only the class's least id counts.
+1. Documents with equal sets form a class; from here on each class counts once, under a number of
+   its own. Classes that hold the same id are joined.
 2. Each class has a MinHash signature (one permutation, empty bins filled by optimal
    densification), read as an LSH forest: trees that are each a sequence of ``DEPTH`` values.
    Sorted by such a sequence, classes with a common prefix stand together. Prefixes of
@@ -36,7 +37,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import U64, group_bounds, group_starts, mix, pack, ranges, shingle_sets, slices, text_bytes, unpack, words
@@ -94,6 +95,11 @@ def signature(shingles: np.ndarray, bins: int) -> np.ndarray:
     return (mix(out) & U64(0xFFFF)).astype(np.uint16)
 
 
+def _sums(shingles: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a set."""
+    return int(shingles.sum(dtype=U64)), int(np.bitwise_xor.reduce(mix(shingles + U64(1)))) ^ len(shingles)
+
+
 def _digests(batches, limit: Limit):
     """Id, set size, hash of the set, signature."""
     for batch in batches:
@@ -102,7 +108,7 @@ def _digests(batches, limit: Limit):
         for i, j in slices(offsets):
             codes, rows = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             sets = shingle_sets(codes, rows)
-            sums = [(int(x.sum(dtype=U64)), int(np.bitwise_xor.reduce(mix(x + U64(1)))) ^ len(x)) for x in sets]
+            sums = [_sums(x) for x in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(i, j - i).cast(pa.int64()),
@@ -237,13 +243,33 @@ def _likely(batches, limit: Limit):
 
 
 def _full_sets(batches):
-    """Shingle sets of the documents that came through the forest."""
+    """Shingle sets of the classes that came through the forest; rows of the same id and another class go."""
     for batch in batches:
-        data, offsets = text_bytes(batch.column(2))
+        data, offsets = text_bytes(batch.column(4))
+        hashes = [np.asarray(batch.column(k)).view(U64).tolist() for k in (2, 3)]
         for i, j in slices(offsets):
             codes, rows = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            sets = [pack(np.diff(x, prepend=U64(0))) for x in shingle_sets(codes, rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(sets, pa.binary())], names=["id", "root", "set"])
+            sets = shingle_sets(codes, rows)
+            own = [k for k, x in enumerate(sets) if _sums(x) == (hashes[0][i + k], hashes[1][i + k])]
+            at = pa.array([i + k for k in own], pa.int64())
+            packed = [pack(np.diff(sets[k], prepend=U64(0))) for k in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(packed, pa.binary())], names=["id", "root", "set"])
+
+
+def _class_sets(texts: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, root, set) of the classes of wanted (id, root), from texts by the classes' least documents."""
+    rows = classes.join(wanted, "id").withColumnRenamed("rep", "doc").join(texts.withColumnRenamed("id", "doc"), "doc")
+    sets = rows.select("id", "root", "h1", "h2", "text").mapInArrow(_full_sets, "id long, root long, set binary")
+    return sets.dropDuplicates(["id"])
+
+
+def _same_ids(digests: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges between the classes that hold the same id."""
+    rows = digests.where("n > 0 and id is not null").select("id", F.struct("h1", "h2").alias("h"))
+    twice = rows.groupBy("id").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least != most")
+    pairs = rows.join(twice, "id").where("h != least").select(F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"), F.col("least.h1").alias("g1"), F.col("least.h2").alias("g2")).distinct()
+    pairs = pairs.join(classes.select("h1", "h2", F.col("id").alias("a")), ["h1", "h2"])
+    return pairs.join(classes.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("id").alias("b")), ["g1", "g2"]).select("a", "b")
 
 
 def linked(sets: list[np.ndarray], share: int) -> np.ndarray:
@@ -315,7 +341,7 @@ def _strangers(batches, limit: Limit):
         yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
 
 
-def _rest(texts: DataFrame, reps: DataFrame, keys: DataFrame, joined: DataFrame, limit: Limit) -> DataFrame | None:
+def _rest(texts: DataFrame, classes: DataFrame, reps: DataFrame, keys: DataFrame, joined: DataFrame, limit: Limit) -> DataFrame | None:
     """Links of regions over REGION classes that the cut blocks cannot have seen; None where there are none to seek."""
     held = keys.groupBy("k4").agg(F.count("*").alias("n_k4")).where(f"n_k4 > {REGION}")
     held = keys.select("id", "k4").join(held.select("k4"), "k4").join(joined.withColumnRenamed("node", "id"), "id", "left").join(reps.select("id", "n"), "id")
@@ -328,8 +354,8 @@ def _rest(texts: DataFrame, reps: DataFrame, keys: DataFrame, joined: DataFrame,
     held = durable(held.join(sums, "k4"))
     if held.isEmpty():
         return None
-    sets = texts.join(held.select("id", "root").distinct(), "id").select("id", "root", "text").mapInArrow(_full_sets, "id long, root long, set binary")
-    sets = durable(sets.dropDuplicates(["id"]).join(reps.select("id", "sig"), "id"))
+    sets = _class_sets(texts, classes, held.select("id", "root").distinct())
+    sets = durable(sets.join(reps.select("id", "sig"), "id"))
     spread = lambda own, other: (F.pmod(F.xxhash64("id", "k4"), own), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
     own, other = spread("queries", "rows")
     asked = held.where("root != main").select("id", "k4", own.alias("q"), other.alias("r"), F.lit(True).alias("asks"))
@@ -347,7 +373,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     digests = durable(texts.mapInArrow(partial(_digests, limit=limit), "id long, n long, h1 long, h2 long, sig binary"))
     classes = digests.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    reps = digests.join(classes, (digests.h1 == classes.h1) & (digests.h2 == classes.h2) & (digests.id == classes.rep)).select("id", "n", "sig").dropDuplicates(["id"])
+    # a class is numbered by its least document; further classes of that document have numbers above all ids, and are joined with the first
+    again = F.row_number().over(Window.partitionBy("rep").orderBy("h1", "h2")) > 1
+    classes = durable(classes.withColumn("id", F.when(again, F.lit((1 << 63) - 1) - F.monotonically_increasing_id()).otherwise(F.col("rep"))))
+    own = classes.select("h1", "h2", "rep", F.col("id").alias("class"))
+    reps = digests.join(own, ["h1", "h2"]).where("id = rep").select(F.col("class").alias("id"), "n", "sig").dropDuplicates(["id"])
     reps = durable(reps)
     keys = durable(reps.select("id", "sig").mapInArrow(partial(_keys, limit=limit), "id long, k4 long, k6 long, k8 long"))
     regions = durable(_regions(keys))
@@ -358,19 +388,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     release(spark)
     volume = groups.join(reps.select(F.col("id").alias("node"), "n"), "node").groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
     groups = durable(groups.join(volume, "root").withColumn("big", F.expr(f"size > {GROUP} or shingles > {GROUP_SHINGLES}")).select(F.col("node").alias("id"), "root", "big"))
-    sets = texts.join(groups.select("id", "root"), "id").select("id", "root", "text").mapInArrow(_full_sets, "id long, root long, set binary").withColumnRenamed("root", "block")
-    sets = durable(sets)
+    sets = durable(_class_sets(texts, classes, groups.select("id", "root")).withColumnRenamed("root", "block"))
     whole = sets.join(groups.where("not big").select("id"), "id", "left_semi")
     cut = regions.join(groups.where("big").select("id"), "id", "left_semi").distinct()
     blocks = whole.select("block", "id", "set").unionByName(cut.join(sets.select("id", "set"), "id").select("block", "id", "set"))
     confirmed = sorted_by_block(blocks).mapInArrow(partial(_confirm, limit=limit), "a long, b long")
-    joined = connected_components(confirmed)
+    joined = connected_components(confirmed.unionByName(_same_ids(digests, classes)))
     release(spark)
-    links = _rest(texts, reps, keys, joined, limit)
+    links = _rest(texts, classes, reps, keys, joined, limit)
     if links is not None:
         joined = connected_components(links.unionByName(joined.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         release(spark)
-    component = classes.join(joined, classes.rep == joined.node, "left").select("h1", "h2", F.coalesce("root", "rep").alias("component"))
+    component = classes.join(joined.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("component"))
     out = digests.select("id", "n", "h1", "h2").join(component, ["h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(component)

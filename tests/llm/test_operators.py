@@ -364,3 +364,11 @@ def test_html_keeps_captions_and_formulas():
     page = "<article><p>Before <math><mi>x</mi><mo>=</mo><mn>2</mn></math> after</p><figure><img src='a'><figcaption>A <i>fine</i> caption</figcaption></figure><p>End</p><nav>menu</nav></article>"
     blocks, settled = html_text.page_blocks(page)
     assert settled and " ".join(blocks).split() == "Before x = 2 after A fine caption End".split()  # an inline end tag ends a block
+
+
+def test_near_dedup_keeps_every_class_of_a_repeated_id(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(5, a), (5, b), (8, f"{a} more"), (9, f"{b} more"), (20, c), (21, c), (21, d), (30, f"{d} more"), (40, "other words than these here")]
+    for parts in (1, 3, 7):
+        got = near_dedup.near_duplicates(frame(spark, [t for _, t in rows], [i for i, _ in rows], parts)).collect()
+        assert {r.doc_id: r.component_id for r in got} == {5: 5, 8: 5, 9: 5, 20: 20, 21: 20, 30: 20, 40: 40} and len(got) == len(rows)
