@@ -9,8 +9,10 @@ from .geo import haversine_sql
 
 
 def ngrams(text: Column, k: int) -> Column:
-    """Distinct character k-grams; none for texts shorter than k, NULL for NULL."""
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(text) - (k - 1)), lambda i: F.substring(text, i, F.lit(k))))
+    """Distinct character k-grams; none for texts shorter than k, NULL for NULL. Linear in the text's length."""
+    # the array of one array gives the split text a name, so that it is split once and not for each gram
+    each = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - k), lambda i: F.concat(*[F.get(c, i + j) for j in range(k)]))
+    grams = F.array_distinct(F.transform(F.array(F.split(text, "")), each)[0])
     return F.when(F.char_length(text) >= k, grams).when(text.isNotNull(), F.array().cast("array<string>"))
 
 

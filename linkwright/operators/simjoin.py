@@ -1,20 +1,21 @@
 """Exact set-similarity join on character n-grams, by prefix filtering.
 
 Pairs with Jaccard >= t must share one of the first |x| - ceil(t |x|) + 1 grams of both sides when
-grams are ordered rarest first. Each side's grams are exploded once, ordered by (frequency, gram)
-and cut to that prefix; an equi-join on (block, gram) with a length filter gives candidates, which
-are verified exactly on the full sets. Frequent grams stand last in the order, so they fall out of
-the prefixes, and what is left of a hot gram is split by AQE's skew join.
+grams are ordered rarest first. Every gram meets its frequency within its block once; each row's
+grams are then sorted by (frequency, gram), and its prefix is exploded. An equi-join on (block,
+gram) with a filter on sizes and on what is left behind the shared place gives candidates. They
+carry their sorted grams (names are short), so they are verified where they meet, and only at the
+first gram that both prefixes share: no pair is made twice, and nothing is joined back. Frequent
+grams stand last in the order, so they fall out of the prefixes, and what is left of a hot gram is
+split by AQE's skew join.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ngrams, set_jaccard
+from ..functions.text import ngrams
 
 
 def _sets(side: DataFrame, key: str, text: str, blocks: list[str], k: int) -> DataFrame:
@@ -22,33 +23,43 @@ def _sets(side: DataFrame, key: str, text: str, blocks: list[str], k: int) -> Da
     return rows.where(F.size("grams") > 0)
 
 
-def similarity_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_text: str, right_text: str | None = None, *, k: int = 3, threshold: float = 0.7, blocks: list[str] | dict[str, str] | None = None) -> DataFrame:
-    """(left_id, right_id, sim) of all pairs with equal blocks and n-gram Jaccard >= threshold.
+def similarity_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_text: str, right_text: str | None = None, *, k: int = 3, threshold: float = 0.7, blocks: list[str] | dict[str, str] | None = None, ascending: bool = False) -> DataFrame:
+    """(left_id, right_id, sim) of all pairs with equal blocks and n-gram Jaccard >= threshold (above 0).
 
     blocks: columns that must be equal (names on the left mapped to those on the right if they
-    differ). Texts shorter than k have no grams and pair with nothing; NULL blocks pair with nothing.
+    differ). ascending: only pairs with left_id < right_id, as a join of a table with itself needs.
+    Rows that repeat a key, its blocks and its set of grams count once; with another set they may
+    give a pair again. Texts shorter than k have no grams and pair with nothing; NULL blocks pair
+    with nothing.
     """
     blocks = blocks if isinstance(blocks, dict) else {b: b for b in blocks or []}
     names = [f"b{i}" for i in range(len(blocks))]
     a = _sets(left, left_key, left_text, list(blocks), k)
     b = _sets(right, right_key, right_text or left_text, list(blocks.values()), k)
-    exploded = lambda s: s.select("id", *names, F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    ga, gb = exploded(a), exploded(b)
-    frequency = ga.select("gram").unionByName(gb.select("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-
-    def prefixes(grams: DataFrame) -> DataFrame:
-        n = F.col("n")
-        # ceil(t n) with room for the product's rounding
-        keep = n - F.ceil(F.lit(threshold) * n - F.lit(1e-9)) + 1
-        ranked = grams.join(frequency, "gram").groupBy("id", *names, "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
-        return ranked.select("id", *names, "n", F.explode(F.slice("g", F.lit(1), keep.cast("int"))).alias("x")).select("id", *names, "n", F.col("x.gram").alias("gram"))
-
-    pa, pb = prefixes(ga), prefixes(gb).select(F.col("id").alias("right_id"), *names, F.col("n").alias("m"), "gram")
-    near = (F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m") - F.lit(1e-9)) if threshold > 0 else F.lit(True)
-    ids = pa.withColumnRenamed("id", "left_id").join(pb, [*names, "gram"]).where(near).select("left_id", "right_id", *names).distinct()
-    full = ids.join(a.select(F.col("id").alias("left_id"), *names, F.col("grams").alias("x")), ["left_id", *names]).join(b.select(F.col("id").alias("right_id"), *names, F.col("grams").alias("y")), ["right_id", *names])
-    found = full.withColumn("sim", set_jaccard(F.col("x"), F.col("y"))).where(F.col("sim") >= threshold)
-    return found.groupBy("left_id", "right_id").agg(F.max("sim").alias("sim"))
-
-
-assert math.ceil(0.7 * 10 - 1e-9) == 7
+    itself = ascending and left is right and not right_text and all(x == y for x, y in blocks.items()) and left_key == right_key
+    exploded = lambda s: s.select(*names, F.explode("grams").alias("gram"))
+    every = exploded(a) if itself else exploded(a).unionByName(exploded(b))
+    frequency = every.groupBy(*names, "gram").agg(F.count("*").alias("df"))
+    t = F.lit(threshold)
+    up = lambda x: F.ceil(x - F.lit(1e-9)).cast("int")  # noqa: E731  with room for the product's rounding
+
+    def prefixes(side: DataFrame) -> DataFrame:
+        ranked = side.select("id", *names, F.xxhash64("grams").alias("_set"), F.explode("grams").alias("gram")).join(frequency, [*names, "gram"])
+        ordered = F.array_sort(F.collect_list(F.struct("df", "gram")))
+        ranked = ranked.groupBy("id", *names, "_set").agg(F.array_distinct(F.transform(ordered, lambda x: x["gram"])).alias("g"))
+        ranked = ranked.withColumn("n", F.size("g"))
+        ranked = ranked.withColumn("p", F.slice("g", F.lit(1), F.col("n") - up(t * F.col("n")) + 1))
+        return ranked.select("id", *names, "n", "g", "p", F.posexplode("p").alias("at", "gram"))
+
+    pa = prefixes(a).withColumnRenamed("id", "left_id")
+    pb = pa if itself else prefixes(b)
+    pb = pb.select(F.col("left_id" if itself else "id").alias("right_id"), *names, F.col("n").alias("m"), F.col("g").alias("h"), F.col("p").alias("q"), F.col("at").alias("bt"), "gram")
+    needed = up(t / (1 + t) * (F.col("n") + F.col("m")))
+    left_over = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt"))
+    pairs = pa.join(pb, [*names, "gram"]).where((F.least("n", "m") >= t * F.greatest("n", "m") - F.lit(1e-9)) & (left_over >= needed))
+    if ascending:
+        pairs = pairs.where("left_id < right_id")
+    # the first gram that both prefixes share; both are in the order of (frequency, gram)
+    pairs = pairs.where(F.array_intersect("p", "q")[0] == F.col("gram"))
+    common = F.size(F.array_intersect("g", "h"))
+    return pairs.withColumn("common", common).withColumn("sim", F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).where(F.col("sim") >= t).select("left_id", "right_id", "sim")
