@@ -9,11 +9,10 @@ from .queries import ADJACENCY_VALUES
 _YEARS = ", ".join(map(str, YEARS))
 
 
-def _pairs(where: str = "true") -> str:
-    return f"""
+_PAIRS = """
 pairs0 AS (
-  SELECT o_custkey AS npi, CAST(year(o_orderdate) AS INT) AS year, l_suppkey AS voter, max(round(1 - l_discount, 2)) AS match_prob, min(l_quantity) AS zip_dist, max(l_tax) AS full_name_sim
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {where} GROUP BY ALL
+  SELECT o_custkey AS npi, CAST(year(o_orderdate) AS INT) AS year, l_suppkey AS voter, max(round(1 - l_discount - l_tax, 2)) AS match_prob, min(l_quantity) AS zip_dist, max(l_tax) AS full_name_sim
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL
 ), pairs AS (
   SELECT npi, year, lpad(CAST(voter AS VARCHAR), 9, '0') AS LALVOTERID, match_prob, c_nationkey = s_nationkey AS state_agree, zip_dist, full_name_sim,
     count(*) OVER (PARTITION BY npi, year) AS n
@@ -25,7 +24,7 @@ pairs0 AS (
 
 
 _GAPS = f"""
-WITH {_pairs("l_linenumber <= 2")}, universe AS (
+WITH {_PAIRS}, universe AS (
   SELECT c_custkey AS npi, y AS year, CAST(CASE WHEN (c_custkey + y) % 20 = 0 THEN (c_nationkey + 1) % 25 ELSE c_nationkey END AS VARCHAR) AS state
   FROM customer, (SELECT unnest([{_YEARS}]) AS y)
 ), present AS (
@@ -51,8 +50,9 @@ WITH {_pairs("l_linenumber <= 2")}, universe AS (
 """
 
 _NAMES = """
-docs AS (
-  SELECT doc_id, lang, lower(left(text, 60)) AS name, CAST(doc_id % 4 AS VARCHAR) AS block, lower(left(text, 1)) AS mi, doc_id % 3 = 0 AS is_left FROM documents
+parts AS (
+  SELECT p_partkey AS part_id, p_type AS kind, lower(concat_ws(' ', p_name, p_brand, p_type, p_size)) AS name, lower(concat_ws(' ', p_name, p_type, p_size)) AS short,
+    substring(p_brand, 7, 10) AS mid, substring(p_brand, 7, 1) AS mi, CAST(p_partkey % 4 AS VARCHAR) AS block, p_partkey % 3 = 0 AS is_left FROM part
 )"""
 
 
@@ -66,7 +66,8 @@ def _jaccard(a: str, b: str) -> str:
 
 def _neighbours(k: int) -> str:
     return f"""
-WITH {_NAMES}, s AS (SELECT a.doc_id, {_grams("a.name", k)} AS x, {_grams("b.name", k)} AS y FROM docs a JOIN docs b ON b.doc_id = a.doc_id + 1)
+WITH docs AS (SELECT doc_id, lower(text) AS name FROM documents), g AS (SELECT doc_id, {_grams("name", k)} AS g FROM docs),
+s AS (SELECT a.doc_id, a.g AS x, b.g AS y FROM g a JOIN g b ON b.doc_id = a.doc_id + 1)
 SELECT doc_id, {_jaccard("x", "y")} AS sim FROM s
 """
 
@@ -74,26 +75,25 @@ SELECT doc_id, {_jaccard("x", "y")} AS sim FROM s
 def _similar(left: str, right: str, name: str, on: str) -> str:
     """Pairs with Jaccard >= 0.7 by counting shared grams."""
     return f"""
-      SELECT l.doc_id AS left_id, r.doc_id AS right_id, count(*) / (any_value(l.n) + any_value(r.n) - count(*)) AS sim
+      SELECT l.part_id AS left_id, r.part_id AS right_id, count(*) / (any_value(l.n) + any_value(r.n) - count(*)) AS sim
       FROM (SELECT *, len(g) AS n, unnest(g) AS t FROM (SELECT *, {_grams(name, 3)} AS g FROM {left})) l
       JOIN (SELECT *, len(g) AS n, unnest(g) AS t FROM (SELECT *, {_grams(name, 3)} AS g FROM {right})) r ON l.t = r.t AND {on}
-      GROUP BY l.doc_id, r.doc_id HAVING count(*) / (any_value(l.n) + any_value(r.n) - count(*)) >= 0.7
+      GROUP BY l.part_id, r.part_id HAVING count(*) / (any_value(l.n) + any_value(r.n) - count(*)) >= 0.7
     """
 
 
 _SIDES = f"""
-WITH {_NAMES}, sides AS (
-  SELECT *, CASE WHEN doc_id % 2 = 0 THEN left(name, 1) ELSE left(name, 8) END AS mid, substring(name, 9, 60) AS short FROM docs
-), lefts AS (SELECT * FROM sides WHERE is_left), rights AS (SELECT * FROM sides WHERE NOT is_left)
+WITH {_NAMES}, lefts AS (SELECT * FROM parts WHERE is_left), rights AS (SELECT * FROM parts WHERE NOT is_left)
 """
 _MILES = f"2 * {EARTH_MILES!r} * asin(sqrt(least(1.0, pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(b.lon) - radians(a.lon)) / 2), 2))))"
 _POINTS = "points AS (SELECT n_nationkey, 25 + n_nationkey * 0.9::DOUBLE AS lat, -120 + n_nationkey * 2.1::DOUBLE AS lon FROM nation)"
-_ATTRIBUTES = "SELECT o_custkey AS npi, CAST(left(o_orderpriority, 1) AS INT) % 2 AS grd_yr, o_orderstatus AS med_sch FROM orders WHERE year(o_orderdate) = 1997"
+_ATTRIBUTES = """SELECT o_custkey AS npi, CAST(1960 + o_custkey % 40 + CASE WHEN CAST(floor(o_totalprice) AS BIGINT) % 25 = 0 THEN 1 ELSE 0 END AS INT) AS grd_yr,
+  CASE WHEN o_custkey % 11 <> 0 THEN CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' THEN 'other' ELSE 'school ' || CAST(o_custkey % 7 AS VARCHAR) END END AS med_sch FROM orders"""
 
 SQL = {
-    "panel_best_per_year": f"WITH {_pairs()} SELECT * FROM panel",
+    "panel_best_per_year": f"WITH {_PAIRS} SELECT * FROM panel",
     "reconcile_best_match": f"""
-WITH {_pairs()}, b AS (
+WITH {_PAIRS}, b AS (
   SELECT * FROM panel QUALIFY row_number() OVER (PARTITION BY npi ORDER BY match_prob DESC, LALVOTERID, year) = 1
 ), c AS (
   SELECT npi, count(DISTINCT year) AS n_years_matched, count(DISTINCT LALVOTERID) AS n_distinct_voters, bool_or(tied) AS any_tied_in_year, max(match_prob) AS m FROM panel GROUP BY npi
@@ -119,7 +119,7 @@ SELECT count(*) AS n_gaps, count(DISTINCT npi) AS n_npi_with_gap, CAST(count_if(
   CAST(count_if(fill_tier = 3 AND has_anchor AND anchor_zip_dist IS NULL) AS BIGINT) AS n_fail_no_zip, CAST(count_if(fill_tier = 3 AND NOT l2_present) AS BIGINT) AS n_no_l2_unfilled FROM gaps
 """,
     "cms_conflicts": f"""
-WITH e AS (SELECT npi, count(*) AS n, count(DISTINCT grd_yr) AS f, count(DISTINCT med_sch) AS s FROM (SELECT DISTINCT * FROM ({_ATTRIBUTES})) GROUP BY npi)
+WITH e AS (SELECT npi, count(*) AS n, count(DISTINCT grd_yr) AS f, count(DISTINCT med_sch) + CAST(bool_or(med_sch IS NULL) AS INT) AS s FROM (SELECT DISTINCT * FROM ({_ATTRIBUTES})) GROUP BY npi)
 SELECT count(*) AS n_npi, CAST(count_if(n > 1) AS BIGINT) AS n_conflicting, CAST(count_if(n > 1) AS BIGINT) / count(*) AS pct_conflicting, max(n) AS max_rows_per_npi, CAST(count_if(f > 1 AND s = 1) AS BIGINT) AS n_grd_yr_only,
   CAST(count_if(f = 1 AND s > 1) AS BIGINT) AS n_med_sch_only, CAST(count_if(f > 1 AND s > 1) AS BIGINT) AS n_both FROM e
 """,
@@ -147,33 +147,33 @@ SELECT event_id, upper(left(event_type, 2)) AS state, CAST(year(ts) AS INT) AS y
 WITH o AS (SELECT o_orderkey, CASE WHEN year(o_orderdate) <= 1997 THEN o_orderpriority ELSE o_orderstatus END AS occupation FROM orders)
 SELECT o_orderkey, occupation, contains(lower(occupation), 'urgent') AS medical, coalesce(occupation = 'F', true) AS unknown FROM o
 """,
-    "stage_b_selector": _GAPS.replace("l_linenumber <= 2", "true")
+    "stage_b_selector": _GAPS
     + """
 SELECT u.npi, u.year, u.state FROM universe u LEFT JOIN (SELECT npi, year, count(*) AS k FROM pairs WHERE match_prob >= 0.99 GROUP BY ALL) s USING (npi, year) WHERE coalesce(k, 0) <> 1
 """,
     "ngram_jaccard_pairs": _neighbours(3),
     "ngram_jaccard_k2": _neighbours(2),
-    "simjoin_unblocked": f"WITH {_NAMES} SELECT left_id, right_id, round(sim, 9) AS sim FROM ({_similar('docs', 'docs', 'name', 'l.doc_id < r.doc_id')})",
-    "simjoin_blocked": f"WITH {_NAMES} SELECT left_id, right_id, round(sim, 9) AS sim FROM ({_similar('docs', 'docs', 'name', 'l.doc_id < r.doc_id AND l.lang = r.lang')})",
+    "simjoin_unblocked": f"WITH {_NAMES} SELECT left_id, right_id, round(sim, 9) AS sim FROM ({_similar('parts', 'parts', 'name', 'l.part_id < r.part_id')})",
+    "simjoin_blocked": f"WITH {_NAMES} SELECT left_id, right_id, round(sim, 9) AS sim FROM ({_similar('parts', 'parts', 'name', 'l.part_id < r.part_id AND l.kind = r.kind')})",
     "candidate_union_features": _SIDES
-    + f""", whole AS ({_similar("lefts", "rights", "name", "l.lang = r.lang AND l.block = r.block")}),
-short AS ({_similar("lefts", "rights", "short", "l.lang = r.lang AND l.block = r.block AND l.mi = r.mi")}),
+    + f""", whole AS ({_similar("lefts", "rights", "name", "l.kind = r.kind AND l.block = r.block")}),
+short AS ({_similar("lefts", "rights", "short", "l.kind = r.kind AND l.block = r.block AND l.mi = r.mi")}),
 ids AS (
   SELECT left_id, right_id FROM whole
   UNION
-  SELECT left_id, right_id FROM short JOIN lefts a ON a.doc_id = left_id JOIN rights b ON b.doc_id = right_id WHERE len(a.mid) <= 1 OR len(b.mid) <= 1
+  SELECT left_id, right_id FROM short JOIN lefts a ON a.part_id = left_id JOIN rights b ON b.part_id = right_id WHERE len(a.mid) <= 1 OR len(b.mid) <= 1
 ), s AS (
   SELECT left_id, right_id, {_grams("a.name", 3)} AS x, {_grams("b.name", 3)} AS y, {_grams("a.mid", 2)} AS u, {_grams("b.mid", 2)} AS v, a.mi = b.mi AS mid_initial_agree
-  FROM ids JOIN lefts a ON a.doc_id = left_id JOIN rights b ON b.doc_id = right_id
+  FROM ids JOIN lefts a ON a.part_id = left_id JOIN rights b ON b.part_id = right_id
 )
 SELECT left_id, right_id, {_jaccard("x", "y")} AS full_name_sim, {_jaccard("u", "v")} AS mid_name_agree, mid_initial_agree FROM s
 """,
     "cross_block_retry": _SIDES
-    + f""", own AS ({_similar("lefts", "rights", "name", "l.lang = r.lang AND l.block = r.block")}),
+    + f""", own AS ({_similar("lefts", "rights", "name", "l.kind = r.kind AND l.block = r.block")}),
 sure AS (SELECT left_id FROM own WHERE sim >= 0.85 GROUP BY left_id HAVING count(*) = 1),
-rest AS (SELECT * FROM lefts WHERE doc_id NOT IN (SELECT left_id FROM sure) AND block IN (SELECT block FROM rights)),
-found AS ({_similar("rest", "rights", "name", "l.lang = r.lang AND (CAST(l.block AS INT) - CAST(r.block AS INT) + 4) % 4 IN (1, 3)")})
-SELECT left_id, b.block AS nb_block, right_id, round(sim, 9) AS sim FROM found JOIN rights b ON b.doc_id = right_id
+rest AS (SELECT * FROM lefts WHERE part_id NOT IN (SELECT left_id FROM sure) AND block IN (SELECT block FROM rights)),
+found AS ({_similar("rest", "rights", "name", "l.kind = r.kind AND (CAST(l.block AS INT) - CAST(r.block AS INT) + 4) % 4 IN (1, 3)")})
+SELECT left_id, b.block AS nb_block, right_id, round(sim, 9) AS sim FROM found JOIN rights b ON b.part_id = right_id
 """,
     "state_adjacency_closure": f"WITH p(a, b) AS (VALUES {ADJACENCY_VALUES}) SELECT a AS state, b AS neighbour FROM p UNION SELECT b, a FROM p",
     "haversine_nation_pairs": f"WITH {_POINTS} SELECT a.n_nationkey AS k1, b.n_nationkey AS k2, round({_MILES}, 6) AS miles FROM points a JOIN points b ON a.n_nationkey < b.n_nationkey",
@@ -181,12 +181,12 @@ SELECT left_id, b.block AS nb_block, right_id, round(sim, 9) AS sim FROM found J
 WITH {_POINTS} SELECT c_custkey, CASE WHEN a.lat IS NOT NULL AND b.lat IS NOT NULL THEN round({_MILES}, 6) END AS zip_dist FROM customer
 LEFT JOIN points a ON a.n_nationkey * 3 = c_custkey % 60 LEFT JOIN points b ON b.n_nationkey * 3 = (c_nationkey * 3) % 60
 """,
-    "candidate_count_n": f"WITH {_pairs()} SELECT npi, year, LALVOTERID, n FROM pairs",
+    "candidate_count_n": f"WITH {_PAIRS} SELECT npi, year, LALVOTERID, n FROM pairs",
     "feature_matrix": """
 SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS zip_dist, CASE WHEN l_linenumber <> 2 THEN CAST(year(l_shipdate) - 1960 AS DOUBLE) END AS year_dist, l_discount AS full_name_sim,
   CAST(CAST(l_linestatus = 'O' AS INT) AS DOUBLE) AS mid_initial_agree, l_tax AS mid_name_agree, CAST(count(*) OVER (PARTITION BY l_orderkey) AS DOUBLE) AS n,
   CAST(CAST(l_linenumber <> 3 AND l_returnflag = 'N' AS INT) AS DOUBLE) AS occ_medical, CAST(CAST(l_linenumber = 3 OR l_returnflag <> 'N' AS INT) AS DOUBLE) AS occ_unknown
-FROM lineitem WHERE l_linenumber <= 3
+FROM lineitem
 """,
     "grid_cross_join": f"SELECT n_name AS state, y AS year FROM nation, (SELECT unnest([{_YEARS}]) AS y)",
     "uniqueness_check": """

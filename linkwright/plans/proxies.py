@@ -1,7 +1,8 @@
 """The linkage's tables acted out by the driver's star schema.
 
 Entities are customers, years those of their orders, voters suppliers; a pair's score is
-1 - discount and its distance the quantity. Names are the first 60 characters of documents.
+1 - discount - tax and its distance the quantity. Registry names are those of parts with their type,
+brand and size. Every proxy reads its whole tables and whole columns.
 """
 
 from __future__ import annotations
@@ -16,16 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pair_rows(spark: SparkSession, sf_dir: str, lines: int | None = None) -> DataFrame:
+def pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scored row per (npi, year, voter)."""
     line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    if lines:
-        line = line.where(F.col("l_linenumber") <= lines)
     rows = line.join(orders, line.l_orderkey == orders.o_orderkey).select(
         F.col("o_custkey").alias("npi"),
         F.year("o_orderdate").alias("year"),
         F.col("l_suppkey").alias("voter"),
-        F.round(1 - F.col("l_discount"), 2).alias("match_prob"),
+        F.round(1 - F.col("l_discount") - F.col("l_tax"), 2).alias("match_prob"),
         F.col("l_quantity").alias("zip_dist"),
         F.col("l_tax").alias("full_name_sim"),
     )
@@ -50,7 +49,29 @@ def gap_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as registry rows: a name, its block and what goes with it."""
-    docs = table(spark, sf_dir, "documents")
-    name = F.lower(F.substring("text", 1, 60))
-    return docs.select("doc_id", "lang", "source", name.alias("name"), (F.col("doc_id") % 4).cast("string").alias("block"), F.lower(F.substring("text", 1, 1)).alias("mi"), (F.col("doc_id") % 3 == 0).alias("is_left"))
+    """Parts as registry rows: a name, its block, the short name without the middle one, and what goes with it."""
+    parts = table(spark, sf_dir, "part")
+    low = lambda *c: F.lower(F.concat_ws(" ", *c))
+    middle = F.substring("p_brand", 7, 10)  # the brand's number
+    return parts.select(
+        F.col("p_partkey").alias("part_id"),
+        F.col("p_type").alias("kind"),
+        low("p_name", "p_brand", "p_type", "p_size").alias("name"),
+        low("p_name", "p_type", "p_size").alias("short"),
+        middle.alias("mid"),
+        F.substring(middle, 1, 1).alias("mi"),
+        (F.col("p_partkey") % 4).cast("string").alias("block"),
+        (F.col("p_partkey") % 3 == 0).alias("is_left"),
+    )
+
+
+def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes of entities as their orders state them: some orders contradict the others in one, the other or both."""
+    orders, key = table(spark, sf_dir, "orders"), F.col("o_custkey")
+    year = 1960 + key % 40 + F.when(F.floor("o_totalprice") % 25 == 0, 1).otherwise(0)
+    school = F.when((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "P"), "other").otherwise(F.concat(F.lit("school "), (key % 7).cast("string")))
+    return orders.select(key.alias("npi"), year.cast("int").alias("grd_yr"), F.when(key % 11 != 0, school).alias("med_sch"))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("name"))

@@ -11,13 +11,13 @@ from ..operators import candidates, checks, gaps, panel, provider, sampling, sco
 from ..operators.simjoin import similarity_join
 from ..sources.readers import newest_per_key
 from ..sources.snapshots import latest_snapshots, path_date, path_key
-from .proxies import YEARS, gap_snapshots, gap_universe, names, pair_rows, table
+from .proxies import YEARS, attributes, documents, gap_snapshots, gap_universe, names, pair_rows, table
 
 MIN_PROB, MAX_DIST = 0.99, 25.0
 
 
-def _scored(spark: SparkSession, sf_dir: str, lines: int | None = None) -> DataFrame:
-    return scoring.candidate_count(pair_rows(spark, sf_dir, lines), "npi", "year")
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.candidate_count(pair_rows(spark, sf_dir), "npi", "year")
 
 
 def panel_best_per_year(spark, sf_dir):
@@ -29,7 +29,7 @@ def reconcile_best_match(spark, sf_dir):
 
 
 def _gaps(spark, sf_dir):
-    best = panel.best_per_year(_scored(spark, sf_dir, 2))
+    best = panel.best_per_year(_scored(spark, sf_dir))
     return best, gaps.classify_gaps(best, gap_universe(spark, sf_dir), gap_snapshots(spark, sf_dir), MIN_PROB, MAX_DIST)
 
 
@@ -45,14 +45,8 @@ def gap_summary(spark, sf_dir):
     return gaps.summarise_gaps(_gaps(spark, sf_dir)[1], MAX_DIST)
 
 
-def _attributes(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where(F.year("o_orderdate") == 1997)
-    digit = F.substring("o_orderpriority", 1, 1).cast("int") % 2
-    return orders.select(F.col("o_custkey").alias("npi"), digit.alias("grd_yr"), F.col("o_orderstatus").alias("med_sch"))
-
-
 def cms_conflicts(spark, sf_dir):
-    return provider.count_conflicts(_attributes(spark, sf_dir))
+    return provider.count_conflicts(attributes(spark, sf_dir))
 
 
 def provider_dim(spark, sf_dir):
@@ -72,7 +66,7 @@ def provider_dim(spark, sf_dir):
     )
     taxonomy = customers.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("npi"), F.col("n_regionkey").cast("string").alias("taxonomy_code"))
     crosswalk = region.select(F.col("r_regionkey").cast("string").alias("code"), F.when(F.col("r_regionkey") < 3, provider.GROUPING).otherwise("Other").alias("grouping"), F.col("r_name").alias("classification"))
-    return provider.provider_dimension(core, taxonomy, _attributes(spark, sf_dir), crosswalk)
+    return provider.provider_dimension(core, taxonomy, attributes(spark, sf_dir), crosswalk)
 
 
 def taxonomy_newest_wins(spark, sf_dir):
@@ -113,7 +107,8 @@ def stage_b_selector(spark, sf_dir):
 
 
 def ngram_jaccard_pairs(spark, sf_dir, k: int = 3):
-    docs = names(spark, sf_dir)
+    """Each whole document text against the next one's."""
+    docs = documents(spark, sf_dir)
     other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("name").alias("next_name"))
     return docs.join(other, "doc_id").select("doc_id", F.round(jaccard_ngram(F.col("name"), F.col("next_name"), k), 9).alias("sim"))
 
@@ -123,9 +118,9 @@ def ngram_jaccard_k2(spark, sf_dir):
 
 
 def _simjoin(spark, sf_dir, blocks):
-    docs = names(spark, sf_dir)
-    found = similarity_join(docs, docs, "doc_id", "doc_id", "name", threshold=0.7, blocks=blocks)
-    return found.where("left_id < right_id").select("left_id", "right_id", F.round("sim", 9).alias("sim"))
+    parts = names(spark, sf_dir)
+    found = similarity_join(parts, parts, "part_id", "part_id", "name", threshold=0.7, blocks=blocks, ascending=True)
+    return found.select("left_id", "right_id", F.round("sim", 9).alias("sim"))
 
 
 def simjoin_unblocked(spark, sf_dir):
@@ -133,21 +128,18 @@ def simjoin_unblocked(spark, sf_dir):
 
 
 def simjoin_blocked(spark, sf_dir):
-    return _simjoin(spark, sf_dir, ["lang"])
+    return _simjoin(spark, sf_dir, ["kind"])
 
 
 def _registries(spark, sf_dir):
-    docs = names(spark, sf_dir)
-    middle = F.when(F.col("doc_id") % 2 == 0, F.substring("name", 1, 1)).otherwise(F.substring("name", 1, 8))
-    cols = ["doc_id", "lang", "block", "name", "mi", middle.alias("mid")]
-    short = F.substring("name", 9, 60).alias("short")
-    return docs.where("is_left").select(*cols, short), docs.where("not is_left").select(*cols, short)
+    parts = names(spark, sf_dir)
+    return parts.where("is_left").drop("is_left"), parts.where("not is_left").drop("is_left")
 
 
 def candidate_union_features(spark, sf_dir):
     left, right = _registries(spark, sf_dir)
-    ids = candidates.candidate_ids(left, right, "doc_id", "doc_id", ("name", "name"), ("short", "short"), ("mid", "mid"), {"lang": "lang", "block": "block"}, clean=False)
-    side = lambda f, key, end: f.select(F.col("doc_id").alias(key), F.col("name").alias(f"name_{end}"), F.col("mid").alias(f"mid_{end}"), F.col("mi").alias(f"mi_{end}"))
+    ids = candidates.candidate_ids(left, right, "part_id", "part_id", ("name", "name"), ("short", "short"), ("mid", "mid"), {"kind": "kind", "block": "block"}, clean=False)
+    side = lambda f, key, end: f.select(F.col("part_id").alias(key), F.col("name").alias(f"name_{end}"), F.col("mid").alias(f"mid_{end}"), F.col("mi").alias(f"mi_{end}"))
     pairs = ids.join(side(left, "left_id", "x"), "left_id").join(side(right, "right_id", "y"), "right_id")
     return pairs.select(
         "left_id",
@@ -164,11 +156,11 @@ def _ring(spark):
 
 def cross_block_retry(spark, sf_dir):
     left, right = _registries(spark, sf_dir)
-    own = similarity_join(left, right, "doc_id", "doc_id", "name", threshold=0.7, blocks=["lang", "block"]).withColumnRenamed("left_id", "doc_id")
-    rest = candidates.unmatched(left, own, ("doc_id",), "sim", 0.85)
+    own = similarity_join(left, right, "part_id", "part_id", "name", threshold=0.7, blocks=["kind", "block"]).withColumnRenamed("left_id", "part_id")
+    rest = candidates.unmatched(left, own, ("part_id",), "sim", 0.85)
     far = candidates.expand_to_neighbours(rest, _ring(spark), right, state="block", keys=("block",))
-    key = F.concat_ws("|", F.col("doc_id").cast("string"), "nb_state")
-    found = similarity_join(far.withColumn("_key", key), right, "_key", "doc_id", "name", threshold=0.7, blocks={"lang": "lang", "nb_state": "block"})
+    key = F.concat_ws("|", F.col("part_id").cast("string"), "nb_state")
+    found = similarity_join(far.withColumn("_key", key), right, "_key", "part_id", "name", threshold=0.7, blocks={"kind": "kind", "nb_state": "block"})
     return found.select(F.split("left_id", r"\|")[0].cast("long").alias("left_id"), F.split("left_id", r"\|")[1].alias("nb_block"), "right_id", F.round("sim", 9).alias("sim"))
 
 
@@ -198,10 +190,8 @@ def candidate_count_n(spark, sf_dir):
     return _scored(spark, sf_dir).select("npi", "year", "LALVOTERID", "n")
 
 
-def _labelled(spark, sf_dir, lines: int | None = None):
+def _labelled(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
-    if lines:
-        line = line.where(F.col("l_linenumber") <= lines)
     return scoring.candidate_count(line, "l_orderkey").select(
         "l_orderkey",
         "l_linenumber",
@@ -217,7 +207,7 @@ def _labelled(spark, sf_dir, lines: int | None = None):
 
 
 def feature_matrix(spark, sf_dir):
-    return scoring.feature_columns(_labelled(spark, sf_dir, 3)).select("l_orderkey", "l_linenumber", *scoring.PREDICTORS)
+    return scoring.feature_columns(_labelled(spark, sf_dir)).select("l_orderkey", "l_linenumber", *scoring.PREDICTORS)
 
 
 def rf_score_pairs(spark, sf_dir, training_rows: int = 5_000, trees: int = 30):
