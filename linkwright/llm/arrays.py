@@ -6,13 +6,31 @@ the number of rows in its partition.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 
 U64 = np.uint64
 SLICE_BYTES = 2 << 20
+
+
+def _lean_worker() -> None:
+    """In a Python worker: freed arrays and Arrow buffers of over 1 MB go back to the system at once, so that an idle worker is small."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (AttributeError, OSError):  # another C library than glibc
+        return
+    mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+
+
+if TaskContext.get() is not None:
+    _lean_worker()
 _MUL = U64(0x9E3779B97F4A7C15)
 
 
@@ -29,34 +47,51 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_CODES = mix((np.arange(256, dtype=U64) + U64(1)) * _MUL)
 _BASE = 0x5851F42D4C957F2D
 _UNBASE = pow(_BASE, -1, 1 << 64)
+#: Powers of the base are kept up to this many; longer inputs take them as products of two tables.
+_POWERS = 1 << 15
 _powers: dict[int, np.ndarray] = {}
 
 
-def powers(n: int, base: int = _BASE) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64, kept and doubled as longer inputs come."""
+def _table(base: int) -> np.ndarray:
     have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
-        have = np.empty(size, U64)
-        have[0] = 1
-        done = 1
-        while done < size:
+    if have is None:
+        have, done = np.ones(_POWERS, U64), 1
+        while done < _POWERS:
             have[done : 2 * done] = have[:done] * U64(pow(base, done, 1 << 64))
             done *= 2
         _powers[base] = have
-    return have[:n]
+    return have
+
+
+def powers_at(exponent: np.ndarray, base: int = _BASE) -> np.ndarray:
+    """base**exponent modulo 2**64, from tables of a fixed size."""
+    exponent = np.asarray(exponent, U64)
+    out = _table(base)[(exponent & U64(_POWERS - 1)).astype(np.int64)]
+    high = exponent >> U64(_POWERS.bit_length() - 1)
+    step = _POWERS
+    while len(high) and high.max():
+        out *= _table(pow(base, step, 1 << 64))[(high & U64(_POWERS - 1)).astype(np.int64)]
+        high, step = high >> U64(_POWERS.bit_length() - 1), step * _POWERS
+    return out
 
 
 def prefix_codes(data: np.ndarray) -> np.ndarray:
-    """Prefix sums from which span_hashes() takes the hash of any byte range."""
+    """Prefix sums from which span_hashes() takes the hash of any byte range; made in pieces of a fixed size."""
     out = np.zeros(len(data) + 1, U64)
-    np.cumsum(BYTE_CODES[data] * powers(len(data)), out=out[1:])
+    powers = _table(_BASE)
+    for a in range(0, len(data), _POWERS):
+        piece = data[a : a + _POWERS]
+        code = BYTE_CODES[piece] * powers[: len(piece)]
+        if a:
+            code *= U64(pow(_BASE, a, 1 << 64))
+        np.cumsum(code, out=code)
+        np.add(code, out[a], out=out[a + 1 : a + 1 + len(piece)])
     return out
 
 
 def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end], equal for equal bytes wherever they stand."""
-    return mix((prefix[end] - prefix[start]) * powers(len(prefix), _UNBASE)[start] + (end - start).astype(U64) * _MUL)
+    return mix((prefix[end] - prefix[start]) * powers_at(start, _UNBASE) + (end - start).astype(U64) * _MUL)
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

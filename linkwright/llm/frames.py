@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import zipfile
 from pathlib import Path
 
@@ -31,10 +32,15 @@ def _ship(spark: SparkSession) -> None:
 
 
 def prepared(spark: SparkSession) -> None:
-    """The package on the executors, a checkpoint folder (the cluster's, or a temporary one where none is set), bounded batches."""
+    """The package on the executors, a checkpoint folder, and for this session batches of BATCH_ROWS rows.
+
+    The folder is the one that spark.checkpoint.dir names; only a local[...] master may go without one.
+    """
     _ship(spark)
     if not spark.sparkContext.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="linkwright-"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
@@ -45,10 +51,14 @@ def durable(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove shuffle files and checkpoints that no frame refers to any more."""
+def release(spark: SparkSession, wait: float = 0.0) -> None:
+    """Lets Spark remove shuffle files (and checkpoints, where the session cleans them) that no frame refers to any more.
+
+    Executors remove them in the background; wait: seconds given to them before more files are written.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(wait)
 
 
 def text_volume(docs: DataFrame, column: str = "text") -> int:

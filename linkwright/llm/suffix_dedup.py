@@ -17,8 +17,10 @@ How it works, without comparing everything with everything:
 4. These contexts are laid out in shards by anchor. Each shard gets a suffix array by
    Larsson-Sadakane refinement, and common prefixes by Kasai's rule; suffixes with a common prefix
    of ``width`` bytes form groups, whose members in larger documents are covered. An anchor with
-   more contexts than ``HOT_CONTEXTS`` is dealt over several shards; their sorted groups are
-   merged by binary search.
+   more contexts than ``hot_contexts`` is dealt over several shards; each sends its distinct windows
+   in suffix order, once each with its least document, the sorted lists are merged by binary
+   search, and the least document of all lists goes back to each. (The result is the same for any
+   value; it only decides where windows meet.)
 5. Each shard of texts collects its verdicts and cuts the covered bytes.
 
 Cases: a NULL text is empty; a NULL id counts as the largest; rows with equal ids never remove
@@ -45,8 +47,10 @@ WIDTH = 50
 GRAM = 16
 SHARD_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
-#: More distinct contexts of one anchor than this are dealt over shards of about this size.
+#: More distinct contexts of one anchor than this are dealt over shards.
 HOT_CONTEXTS = 4_000
+#: Contexts in one suffix array, unless one anchor has more (up to hot_contexts).
+BLOCK = 4_000
 COVERED, FIRST, ASK, HOT = 1, 2, 4, 8
 _LAST = np.iinfo(np.int64).max
 
@@ -62,14 +66,17 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> tuple[np.ndarray
     With ``depth`` it stops when ties agree in that many symbols; equal ranks then mark such ties.
     """
     n = len(text)
+    kind = np.int32 if n < 1 << 31 else np.int64
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    padded = np.zeros(n + 4, np.int64)
-    padded[:n] = text + 1
-    first = (padded[:n] << 48) | (padded[1 : n + 1] << 32) | (padded[2 : n + 2] << 16) | padded[3 : n + 3]
-    order = np.argsort(first, kind="stable")
-    head = group_starts(first[order])
-    rank = np.empty(n, np.int64)
+        return np.zeros(0, kind), np.zeros(0, kind)
+    first = np.zeros(n, np.int64)
+    for k in range(min(4, n)):
+        first[: n - k] |= (text[k:].astype(np.int64) + 1) << (48 - 16 * k)
+    order = np.argsort(first, kind="stable").astype(kind)
+    first = first[order]
+    head = group_starts(first).astype(kind)
+    del first
+    rank = np.empty(n, kind)
     rank[order] = np.repeat(head, np.diff(np.append(head, n)))
     h = 4
     while h < (depth or n):
@@ -82,13 +89,14 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> tuple[np.ndarray
         if not len(place):
             break
         members, group = order[place], at[place]
-        beyond = members + h
-        after = np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + 1, 0)
-        by = np.lexsort((after, group)) if n >= 1 << 31 else np.argsort((group << 32) | after, kind="stable")
+        beyond = members.astype(np.int64) + h
+        after = np.where(beyond < n, rank[np.minimum(beyond, n - 1)].astype(np.int64) + 1, 0)
+        del at, tied, same, beyond
+        by = np.lexsort((after, group)) if n >= 1 << 31 else np.argsort((group.astype(np.int64) << 32) | after, kind="stable")
         members, group, after = members[by], group[by], after[by]
         order[place] = members
         new = np.concatenate(([True], (group[1:] != group[:-1]) | (after[1:] != after[:-1])))
-        rank[members] = place[np.flatnonzero(new)][np.cumsum(new) - 1]
+        rank[members] = place[np.flatnonzero(new)][np.cumsum(new) - 1].astype(kind)
         h *= 2
     return order, rank
 
@@ -101,9 +109,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, width: int, limit: int)
     """
     n = len(text)
     flat = np.concatenate((text, np.full(limit + 1, -1, text.dtype)))
-    where = np.empty(n, np.int64)
-    where[order] = np.arange(n)
-    out = np.zeros(n, np.int64)
+    where = np.empty(n, order.dtype)
+    where[order] = np.arange(n, dtype=order.dtype)
+    out = np.zeros(n, np.int64 if limit >= 1 << 15 else np.int16)
     base = np.arange(0, n, width)
     known = np.zeros(len(base), np.int64)
     for offset in range(width):
@@ -128,10 +136,10 @@ def window_groups(contexts: np.ndarray, length: np.ndarray, width: int) -> tuple
     size = contexts.shape[1]
     text = contexts.ravel()
     order, _ = suffix_array(text)
-    group = np.cumsum(common_prefixes(text, order, size, width) < width)
+    group = np.cumsum(common_prefixes(text, order, size, width) < width, dtype=order.dtype)
     context, start = order // size, order % size
     whole = start + width <= length[context]
-    return context[whole], start[whole], group[whole]
+    return context[whole].astype(np.int64), start[whole], group[whole]
 
 
 # --- anchors ---------------------------------------------------------------------------------
@@ -255,7 +263,7 @@ def _entries(buckets: int, id_col: str, text_col: str, width: int):
 _VERDICT = pa.schema([("shard", pa.int64()), ("bucket", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
 
 
-def _judge(table: pa.Table) -> pa.Table:
+def _judge(table: pa.Table, hot_contexts: int) -> pa.Table:
     """For every entry of a bucket: covered here, first here, contexts to be asked for."""
     pieces = [unpack(x, U64, np.uint32, np.uint16, np.int64) for x in table["blob"].to_pylist()]
     sizes = [len(p[0]) for p in pieces]
@@ -282,7 +290,7 @@ def _judge(table: pa.Table) -> pa.Table:
         contexts = np.bincount(which)
         lo = np.minimum.reduceat(d[at], np.flatnonzero(new_key[at]))
         hi = np.maximum.reduceat(d[at], np.flatnonzero(new_key[at]))
-        ask = np.where((contexts > 1) & (hi > lo), ASK + HOT * (contexts > HOT_CONTEXTS), 0).astype(np.uint8)
+        ask = np.where((contexts > 1) & (hi > lo), ASK + HOT * (contexts > hot_contexts), 0).astype(np.uint8)
         mark |= np.where(mark & FIRST, np.repeat(ask[which], each), 0).astype(np.uint8)
         code[order] = mark
     cuts = np.cumsum([0, *sizes])
@@ -349,7 +357,7 @@ def _in_blocks(contexts: np.ndarray, length: np.ndarray, width: int, order: np.n
     """window_groups() of blocks of contexts that end where an anchor's contexts end."""
     at = 0
     while at < len(order):
-        to = int(np.searchsorted(bound, at + 20_000, side="right"))
+        to = int(np.searchsorted(bound, at + BLOCK, side="right"))
         to = int(bound[to - 1]) if to and bound[to - 1] > at else int(bound[min(to, len(bound) - 1)])
         x = order[at:to]
         c, start, group = window_groups(contexts[x].astype(np.int16), length[x], width)
@@ -377,65 +385,102 @@ def _search(width: int):
     return run
 
 
-_LISTS = pa.schema([("part", pa.int64()), ("windows", pa.binary()), ("blob", pa.binary())])
+def _hot_blocks(table: pa.Table, width: int):
+    """A shard of hot anchors' contexts in blocks: windows in suffix order (context, start), where each distinct one begins, its bytes."""
+    table = table.sort_by("shard")  # both readers of the shard see the same order
+    shard, entry, length, doc, contexts, _ = _asked(table, width)
+    for i in range(0, len(doc), BLOCK):
+        block = slice(i, i + BLOCK)
+        c, start, group = window_groups(contexts[block].astype(np.int16), length[block], width)
+        if len(c):
+            head = group_starts(group)
+            names = contexts[(i + c[head])[:, None], start[head][:, None] + np.arange(width)]
+            yield i, shard, entry, doc, c + i, start, head, names
+
+
+def _part(names: np.ndarray, parts: int) -> np.ndarray:
+    code = np.zeros(len(names), U64)
+    for k in range(names.shape[1]):
+        code = code * U64(0x2545F4914F6CDD1D) + BYTE_CODES[names[:, k]]
+    return (mix(code) % U64(parts)).astype(np.int64)
+
+
+_LISTS = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("block", pa.int64()), ("windows", pa.binary()), ("blob", pa.binary())])
+_REPLIES = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("part", pa.int64()), ("blob", pa.binary())])
 
 
 def _sorted_lists(parts: int, width: int):
-    """One shard of hot anchors' contexts: its distinct windows in suffix order, by part."""
+    """The distinct windows of a shard of hot anchors' contexts in suffix order, each with its least document, by part."""
 
     def run(table: pa.Table) -> pa.Table:
-        shard, entry, length, doc, contexts, _ = _asked(table, width)
         out = {k: [] for k in _LISTS.names}
-        for i in range(0, len(doc), 20_000):
-            block = slice(i, i + 20_000)
-            c, start, group = window_groups(contexts[block].astype(np.int16), length[block], width)
-            if not len(c):
-                continue
-            c += i
-            rows = contexts[c[:, None], start[:, None] + np.arange(width)]
-            code = np.zeros(len(c), U64)
-            for k in range(width):
-                code = code * U64(0x2545F4914F6CDD1D) + BYTE_CODES[rows[:, k]]
-            part = (mix(code) % U64(parts)).astype(np.int64)
+        for i, _, _, doc, c, _, head, names in _hot_blocks(table, width):
+            least, part = np.minimum.reduceat(doc[c], head), _part(names, parts)
             by = np.argsort(part, kind="stable")  # within a part the suffix order stays
             for a, b in group_bounds(part[by]):
                 x = by[a:b]
                 out["part"].append(int(part[x[0]]))
-                out["windows"].append(zstandard.ZstdCompressor(level=1).compress(rows[x].tobytes()))
-                out["blob"].append(pack(shard[c[x]], entry[c[x]], doc[c[x]], start[x].astype(np.uint8)))
+                out["bucket"].append(table["bucket"][0].as_py())
+                out["block"].append(i)
+                out["windows"].append(zstandard.ZstdCompressor(level=1).compress(names[x].tobytes()))
+                out["blob"].append(pack(least[x]))
         return pa.table(out, schema=_LISTS)
 
     return run
 
 
+def _sortable(windows: bytes, width: int) -> np.ndarray:
+    """Windows as byte strings; one byte more is kept, as a string that ends in a zero byte would lose it in comparisons."""
+    rows = np.frombuffer(zstandard.ZstdDecompressor().decompress(windows), np.uint8).reshape(-1, width)
+    return np.ascontiguousarray(np.concatenate((rows, np.full((len(rows), 1), 1, np.uint8)), axis=1)).view(f"S{width + 1}").ravel()
+
+
+def merged(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Two by two, sorted lists of distinct names with their least documents become one, by binary search."""
+    while len(lists) > 1:
+        longer = []
+        for k in range(0, len(lists) - 1, 2):
+            (names, least), (other, least2) = lists[k], lists[k + 1]
+            at = np.searchsorted(names, other)
+            there = at < len(names)
+            there[there] = names[at[there]] == other[there]
+            least = least.copy()
+            least[at[there]] = np.minimum(least[at[there]], least2[there])
+            longer.append((np.insert(names, at[~there], other[~there]), np.insert(least, at[~there], least2[~there])))
+        lists = longer + lists[len(lists) - len(lists) % 2 :]
+    return lists[0]
+
+
 def _merge(width: int):
-    """Merges sorted lists of windows by binary search and marks those that are not the first."""
+    """Merges a part's sorted lists and tells each list the least document of each of its windows."""
 
     def run(table: pa.Table) -> pa.Table:
-        lists = []
-        for windows, blob in zip(table["windows"].to_pylist(), table["blob"].to_pylist(), strict=True):
-            raw = zstandard.ZstdDecompressor().decompress(windows)
-            # a byte string that ends in a zero byte would lose it in comparisons: one byte more is kept
-            rows = np.frombuffer(raw, np.uint8).reshape(-1, width)
-            rows = np.ascontiguousarray(np.concatenate((rows, np.full((len(rows), 1), 1, np.uint8)), axis=1)).view(f"S{width + 1}").ravel()
-            shard, entry, doc, start = unpack(blob, np.int64, np.uint32, np.int64, np.uint8)
-            lists.append((rows, shard, entry, doc, start))
-        names, least = lists[0][0][:0], np.zeros(0, np.int64)
-        for rows, _, _, doc, _ in lists:
-            head = group_starts(rows)
-            own, first = rows[head], np.minimum.reduceat(doc, head)
-            at = np.searchsorted(names, own)
-            there = at < len(names)
-            there[there] = names[at[there]] == own[there]
-            least[at[there]] = np.minimum(least[at[there]], first[there])
-            names, least = np.insert(names, at[~there], own[~there]), np.insert(least, at[~there], first[~there])
-        shards, entries, starts = [], [], []
-        for rows, shard, entry, doc, start in lists:
-            later = doc > least[np.searchsorted(names, rows)]
-            shards.append(shard[later])
-            entries.append(entry[later])
-            starts.append(start[later])
-        return _marks(np.concatenate(shards), np.concatenate(entries), np.concatenate(starts))
+        lists = [(_sortable(w, width), unpack(b, np.int64)[0]) for w, b in zip(table["windows"].to_pylist(), table["blob"].to_pylist(), strict=True)]
+        names, least = merged(lists)
+        blobs = [pack(least[np.searchsorted(names, own)]) for own, _ in lists]
+        return pa.table([table["bucket"], table["block"], table["part"], pa.array(blobs, pa.binary())], schema=_REPLIES)
+
+    return run
+
+
+def _told(parts: int, width: int):
+    """Marks the windows of a shard of hot anchors' contexts that a smaller document has in any shard."""
+
+    def run(table: pa.Table, replies: pa.Table) -> pa.Table:
+        got = {(i, p): x for i, p, x in zip(replies["block"].to_pylist(), replies["part"].to_pylist(), replies["blob"].to_pylist(), strict=True)}
+        hits = []
+        for i, shard, entry, doc, c, start, head, names in _hot_blocks(table, width) if table.num_rows else ():
+            part = _part(names, parts)
+            by = np.argsort(part, kind="stable")
+            least = np.empty(len(head), np.int64)
+            for a, b in group_bounds(part[by]):
+                x = by[a:b]
+                least[x] = unpack(got[i, int(part[x[0]])], np.int64)[0]
+            later = doc[c] > np.repeat(least, np.diff(np.append(head, len(c))))
+            hits.append((shard[c[later]], entry[c[later]], start[later].astype(np.uint8)))
+        if not hits:
+            return _VERDICT.empty_table()
+        return _marks(*(np.concatenate(x) for x in zip(*hits, strict=True)))
 
     return run
 
@@ -487,7 +532,7 @@ RESULT = T.StructType(
 )
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, kept (the remaining bytes), kept_text (these without parts of characters) and kept_sha256."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -499,16 +544,21 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = (id_col, text_col, width)
     shards = durable(docs.mapInArrow(_pack_shards(id_col, text_col, shard_bytes), "shard long, blob binary"))
     entries = shards.mapInArrow(_entries(buckets, *own), "bucket long, shard long, blob binary")
-    verdicts = durable(entries.groupBy("bucket").applyInArrow(_judge, "shard long, bucket long, kind int, blob binary"))
-    release(spark)
+    verdicts = durable(entries.groupBy("bucket").applyInArrow(lambda table: _judge(table, hot_contexts), "shard long, bucket long, kind int, blob binary"))
+    release(spark, 1.0)
     asked = durable(shards.groupBy("shard").cogroup(verdicts.groupBy("shard")).applyInArrow(_ask(buckets, *own), "bucket long, shard long, blob binary, bytes binary"))
-    release(spark)
-    hot, plain = asked.where(F.col("bucket") >= buckets), asked.where(F.col("bucket") < buckets)
-    marks = plain.groupBy("bucket").applyInArrow(_search(width), "shard long, bucket long, kind int, blob binary")
-    lists = hot.groupBy("bucket").applyInArrow(_sorted_lists(4 * buckets, width), "part long, windows binary, blob binary")
-    merged = lists.groupBy("part").applyInArrow(_merge(width), "shard long, bucket long, kind int, blob binary")
-    marks = durable(marks.unionByName(merged))
-    release(spark)
+    release(spark, 1.0)
+    marks = asked.where(F.col("bucket") < buckets).groupBy("bucket").applyInArrow(_search(width), "shard long, bucket long, kind int, blob binary")
+    marks = durable(marks)
+    if not (hot := asked.where(F.col("bucket") >= buckets)).isEmpty():
+        release(spark, 1.0)
+        parts = 4 * buckets
+        lists = hot.groupBy("bucket").applyInArrow(_sorted_lists(parts, width), "part long, bucket long, block long, windows binary, blob binary")
+        replies = lists.groupBy("part").applyInArrow(_merge(width), "bucket long, block long, part long, blob binary")
+        told = hot.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(_told(parts, width), "shard long, bucket long, kind int, blob binary")
+        marks = marks.unionByName(durable(told))
+    del asked, hot
+    release(spark, 1.0)
     return shards.groupBy("shard").cogroup(verdicts.unionByName(marks).groupBy("shard")).applyInArrow(_cut(buckets, *own, to_arrow_schema(schema)), schema)
 
 
