@@ -32,5 +32,6 @@ class LinkageConfig:
     min_name_sim: float = 0.85
     min_fill_prob: float = 0.9
     max_fill_zip_dist: float = 50.0
+    trees: int = 2_000
     years: list[int] = field(default_factory=scoped_years)
     states: list[str] = field(default_factory=scoped_states)

@@ -72,15 +72,15 @@ def candidate_ids(providers: DataFrame, voters: DataFrame, left_key: str, right_
 def pair_features(pairs: DataFrame, centroids: DataFrame | None = None) -> DataFrame:
     """Features of attribute-joined pairs (clashing names carry .x for the provider, .y for the voter)."""
     x, y = (lambda c: F.col(f"`{c}.x`")), (lambda c: F.col(f"`{c}.y`"))
-    middle = lambda c: F.coalesce(F.col(c), F.lit(""))
-    out = pairs.withColumns(
+    known = {c: F.coalesce(F.col(c), F.lit("")) for c in ("mid_nm", "Voters_MiddleName")}
+    out = pairs.withColumns(known).withColumns(
         {
             "full_name_sim": jaccard_ngram(x("full_name"), y("full_name"), 3),
             "state_agree": x("st") == y("st"),
-            "mid_initial_agree": F.lower(F.substring(middle("mid_nm"), 1, 1)) == F.lower(F.substring(middle("Voters_MiddleName"), 1, 1)),
-            "mid_name_agree": jaccard_ngram(F.lower(middle("mid_nm")), F.lower(middle("Voters_MiddleName")), 2),
-            "mid_name_length": F.char_length(middle("mid_nm")),
-            "mid_name_length_l2": F.char_length(middle("Voters_MiddleName")),
+            "mid_initial_agree": F.lower(F.substring("mid_nm", 1, 1)) == F.lower(F.substring("Voters_MiddleName", 1, 1)),
+            "mid_name_agree": jaccard_ngram(F.lower("mid_nm"), F.lower("Voters_MiddleName"), 2),
+            "phys_mid_name_len": F.char_length("mid_nm"),
+            "voters_mid_name_len": F.char_length("Voters_MiddleName"),
             "year_dist": F.col("grd_yr") - F.year(F.to_date("Voters_BirthDate")),
         }
     )
@@ -88,8 +88,11 @@ def pair_features(pairs: DataFrame, centroids: DataFrame | None = None) -> DataF
 
 
 def zip_distance(frame: DataFrame, centroids: DataFrame, left_zip: str, right_zip: str, out: str = "zip_dist") -> DataFrame:
-    """Miles between the centroids of two ZIP codes' first five digits; NULL where one has none."""
-    points = centroids.dropDuplicates(["zcta5"])
+    """Miles between the centroids of two ZIP codes' first five digits; NULL where one has none.
+
+    A code that centroids repeat (readers.read_centroids() keeps the first) counts with its least coordinates.
+    """
+    points = centroids.groupBy("zcta5").agg(F.min(F.struct("intptlat", "intptlong")).alias("_p")).select("zcta5", "_p.*")
     side = lambda s: points.select(F.col("zcta5").alias(f"_z{s}"), F.col("intptlat").alias(f"_lat{s}"), F.col("intptlong").alias(f"_lon{s}"))
     # no hint: the national file (33,000 rows, under 1 MB) is under Spark's own broadcast limit
     frame = frame.join(side(1), F.substring(left_zip, 1, 5) == F.col("_z1"), "left").join(side(2), F.substring(right_zip, 1, 5) == F.col("_z2"), "left")

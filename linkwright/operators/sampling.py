@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def draw(frame: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
-    """n rows in the order of a seeded hash of their key, numbered as observation (a top-n, no full sort)."""
-    marked = frame.withColumn("_mark", F.xxhash64(F.lit(seed), *key)).orderBy("_mark", *key).limit(n)
+    """n rows in the order of a seeded hash of their key (md5 of the parts as text), numbered as observation (a top-n, no full sort)."""
+    mark = F.md5(F.concat_ws("|", F.lit(seed).cast("string"), *[F.col(c).cast("string") for c in key]))
+    marked = frame.withColumn("_mark", mark).orderBy("_mark", *key).limit(n)
     return marked.withColumn("observation", F.row_number().over(Window.orderBy("_mark", *key))).drop("_mark")  # at most n rows
 
 
@@ -21,9 +22,16 @@ def training_samples(pairs: DataFrame, *key: str, seed: int = 0, total: int = 15
     return {"rough": rough, **parts, "positives": suffixed, "negatives": too_young}
 
 
+def joined_labels(first: DataFrame, second: DataFrame, on: str = "observation", label: str = "match") -> DataFrame:
+    """Two coders' labels of the observations that both have: label.x and label.y."""
+    side = lambda f, end: f.select(on, F.col(label).alias(f"{label}.{end}"))
+    return side(first, "x").join(side(second, "y"), on)
+
+
 def coder_agreement(frame: DataFrame, first: str, second: str) -> DataFrame:
     """n, raw agreement and Cohen's kappa of two coders' labels of the same rows."""
-    cells = frame.where(F.col(first).isNotNull() & F.col(second).isNotNull()).groupBy(F.col(first).alias("a"), F.col(second).alias("b")).agg(F.count("*").cast("double").alias("n"))
+    x, y = F.col(f"`{first}`"), F.col(f"`{second}`")
+    cells = frame.where(x.isNotNull() & y.isNotNull()).groupBy(x.alias("a"), y.alias("b")).agg(F.count("*").cast("double").alias("n"))
     margin = lambda c: cells.groupBy(F.col(c).alias("label")).agg(F.sum("n").alias(f"m_{c}"))
     chance = margin("a").join(margin("b"), "label").agg(F.sum(F.col("m_a") * F.col("m_b")).alias("e"))
     total = cells.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0.0)).alias("same"))

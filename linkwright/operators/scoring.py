@@ -28,10 +28,11 @@ def with_missing_flags(frame: DataFrame) -> DataFrame:
     return frame.withColumns(values | {f"m_{c}": F.col(c).isNull().cast("double") for c in PREDICTORS})
 
 
-def train_forest(labelled: DataFrame, label: str = "match", trees: int = 100, seed: int = 7) -> PipelineModel:
+def train_forest(labelled: DataFrame, label: str = "match", trees: int = 2_000, depth: int = 16, leaf: int = 5, share: float = 0.5, seed: int = 7) -> PipelineModel:
+    """A probability forest: trees on half of the rows each, all predictors at every split, leaves of at least five rows."""
     rows = with_missing_flags(feature_columns(labelled)).withColumn("label", F.col(label).cast("double"))
     inputs = [f"{p}_{c}" for c in PREDICTORS for p in ("x", "m")]
-    forest = RandomForestClassifier(numTrees=trees, seed=seed, minInstancesPerNode=5, maxDepth=8)
+    forest = RandomForestClassifier(numTrees=trees, seed=seed, minInstancesPerNode=leaf, maxDepth=depth, subsamplingRate=share, bootstrap=False, featureSubsetStrategy="all")
     return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features"), forest]).fit(rows)
 
 

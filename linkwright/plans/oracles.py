@@ -197,6 +197,9 @@ SELECT count(*) AS n_rows, count(DISTINCT l_orderkey) AS n_keys, n_rows = n_keys
     "null_aware_distinct": """
 WITH o AS (SELECT o_custkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS p FROM orders)
 SELECT o_custkey, count(DISTINCT p) + CAST(bool_or(p IS NULL) AS INT) AS n_values, count(DISTINCT p) AS n_known FROM o GROUP BY o_custkey
+""",
+    "sample_training": """
+SELECT doc_id, lang, CAST(row_number() OVER (ORDER BY m, doc_id) AS INT) AS observation FROM (SELECT doc_id, lang, md5('0|' || CAST(doc_id AS VARCHAR)) AS m FROM documents ORDER BY m, doc_id LIMIT 1500)
 """,
     "coder_agreement_kappa": """
 WITH t AS (SELECT count(*) AS n, avg(CAST(quality = toxic AS INT)) AS po, avg(quality) * avg(toxic) + (1 - avg(quality)) * (1 - avg(toxic)) AS pe FROM labels)

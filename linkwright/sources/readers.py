@@ -11,9 +11,9 @@ from .catalogue import taxonomy_vintage
 
 
 def read_parquet(spark: SparkSession, *paths: str, columns: T.StructType | None = None) -> DataFrame:
-    """Parquet files or trees; with columns, exactly these, NULL where a file lacks one."""
-    reader = spark.read.option("mergeSchema", "true")
-    return (reader.schema(columns) if columns else reader).parquet(*paths)
+    """Parquet files or trees; with columns, exactly these, NULL where a file lacks one (else the files' schemas are merged)."""
+    reader = spark.read.schema(columns) if columns else spark.read.option("mergeSchema", "true")
+    return reader.parquet(*paths)
 
 
 def read_csv(spark: SparkSession, *paths: str, columns: T.StructType | None = None, headers: str = "keep") -> DataFrame:
@@ -21,9 +21,9 @@ def read_csv(spark: SparkSession, *paths: str, columns: T.StructType | None = No
     if columns is None:
         frame = spark.read.option("header", True).csv(list(paths))
     else:
-        # by name, not by place: the header decides which column is which
+        # by name, not by place: the header decides which column is which; a value that is none of its type is NULL in any session
         frame = spark.read.option("header", True).csv(list(paths))
-        frame = frame.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns.fields])
+        frame = frame.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in columns.fields])
     return frame.toDF(*[c.lower().replace(" ", "_") for c in frame.columns]) if headers == "snake" else frame
 
 
@@ -32,7 +32,7 @@ def read_table(spark: SparkSession, path: str, columns: T.StructType) -> DataFra
     if path.endswith(".csv"):
         return read_csv(spark, path, columns=columns)
     frame = spark.read.parquet(path)
-    return frame.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns.fields])
+    return frame.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in columns.fields])
 
 
 def read_provider_core(spark: SparkSession, path: str) -> DataFrame:
@@ -41,11 +41,19 @@ def read_provider_core(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_centroids(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, columns=schemas.CENTROIDS).dropDuplicates(["zcta5"])
+    """Centroids by ZIP code area; of a code that the file repeats, the first row."""
+    rows = read_csv(spark, path, columns=schemas.CENTROIDS).withColumn("_at", F.monotonically_increasing_id())
+    return rows.groupBy("zcta5").agg(F.min_by(F.struct("intptlat", "intptlong"), "_at").alias("_p")).select("zcta5", "_p.*")
+
+
+def read_attributes(spark: SparkSession, path: str) -> DataFrame:
+    """Provider attributes: npi, grd_yr, med_sch of a CSV file with any further columns."""
+    frame = read_csv(spark, path, headers="snake")
+    return frame.select(F.col("npi").try_cast("long").alias("npi"), F.col("grd_yr").try_cast("int").alias("grd_yr"), "med_sch")
 
 
 def newest_per_key(frame: DataFrame, key: str | list[str], *newest: Column) -> DataFrame:
-    """The first row of each key in the given order (pre-aggregated: no key's rows meet in one sort)."""
+    """The first row of each key in the given order."""
     keys = [key] if isinstance(key, str) else key
     order = Window.partitionBy(*keys).orderBy(*newest)
     return frame.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")

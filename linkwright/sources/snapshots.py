@@ -47,12 +47,17 @@ def resolve_snapshot(spark: SparkSession, root: str, state: str, year: int) -> s
     return found["path"] if found else None
 
 
-def read_latest(spark: SparkSession, root: str) -> DataFrame:
-    """Voters of the newest snapshots only: one read of the tree, pruned to the resolved days."""
-    leaves = latest_snapshots(list_snapshots(spark, root)).select("state", "year", "month", "day")
-    voters = spark.read.option("mergeSchema", "true").parquet(root)
-    # one row per state and year (at most some thousands): a broadcast that also prunes partitions
-    return voters.join(F.broadcast(leaves), ["state", "year", "month", "day"], "left_semi")
+def read_latest(spark: SparkSession, root: str, years: list[int] | None = None, states: list[str] | None = None) -> DataFrame:
+    """Voters of the newest snapshots only: the resolved leaves are read, stale ones are not opened. NULL where a leaf lacks a column."""
+    leaves = latest_snapshots(list_snapshots(spark, root))
+    if years is not None:
+        leaves = leaves.where(F.col("year").isin(years))
+    if states is not None:
+        leaves = leaves.where(F.col("state").isin(states))
+    paths = [r.path for r in leaves.select("path").collect()]  # one for each state and year: some hundred
+    if not paths:
+        return schemas.empty(spark, schemas.schema(LALVOTERID="string", state="string", year="int", month="int", day="int"))
+    return spark.read.option("basePath", root).option("mergeSchema", "true").parquet(*paths)
 
 
 def absent(spark: SparkSession) -> DataFrame:

@@ -61,8 +61,10 @@ def test_similarity_join_is_exact(spark):
         want = {(i, j) for i, _, x in data for j, _, y in data if grams[i] and grams[j] and (not blocks or x == y is not None) and len(grams[i] & grams[j]) / len(grams[i] | grams[j]) >= 0.7}
         if blocks:
             want = {(i, j) for i, j in want if data[i][2] is not None}
-        got = similarity_join(frame, frame, "id", "id", "name", blocks=blocks)
-        assert {(r.left_id, r.right_id) for r in got.collect()} == want
+        got = similarity_join(frame, frame, "id", "id", "name", blocks=blocks).collect()
+        assert {(r.left_id, r.right_id) for r in got} == want and len(got) == len(want)
+        half = similarity_join(frame, frame, "id", "id", "name", blocks=blocks, ascending=True).collect()
+        assert {(r.left_id, r.right_id) for r in half} == {(i, j) for i, j in want if i < j} and all(r.sim == pytest.approx(len(grams[r.left_id] & grams[r.right_id]) / len(grams[r.left_id] | grams[r.right_id])) for r in half)
 
 
 def scored(spark):
@@ -182,7 +184,7 @@ def linkage_inputs(spark):
 def test_whole_linkage(spark):
     from linkwright.plans.linkage import link
 
-    out = link(spark, *linkage_inputs(spark), config.LinkageConfig(years=[2018], states=["CT", "NY"]), keep=lambda f: f.persist())
+    out = link(spark, *linkage_inputs(spark), config.LinkageConfig(years=[2018], states=["CT", "NY"], trees=20), keep=lambda name, f: f.persist())
     assert rows(out["lsh_pairs"], "npi", "LALVOTERID") == [(101, "V1"), (103, "V3")]
     assert rows(out["cross_border_pairs"], "npi", "LALVOTERID", "state_agree") == [(102, "V2", False)]
     assert sorted(out["lsh_pairs"].columns) == sorted(out["cross_border_pairs"].columns)
@@ -193,6 +195,108 @@ def test_whole_linkage(spark):
     assert len(scoring.PREDICTORS) == 8 and "state_agree" not in scoring.PREDICTORS
 
 
+def source_files(spark, folder):
+    """The linkage's inputs as files: CSV and Parquet sources, labelled pairs in two files, a stale snapshot beside the newest."""
+    core, taxonomy, cms, nucc, voters, centroids, labelled = linkage_inputs(spark)
+    at = lambda name: str(folder / name)
+    text = core.drop("year")
+    text.coalesce(1).write.csv(at("core201812.csv"), header=True)
+    text.where("npi != 103").withColumn("extra", F.lit(1)).write.parquet(at("core_201912.parquet"))
+    newest = catalogue.TAXONOMY_FILES["2025-12"].rsplit("/", 1)[1]
+    taxonomy.select("npi", F.lit(1).alias("seq"), F.col("taxonomy_code").alias("ptaxcode")).write.parquet(at(newest))
+    cms.select(F.col("npi").alias("NPI"), "grd_yr", "med_sch", F.lit("x").alias("Other Column")).coalesce(1).write.csv(at("cms.csv"), header=True)
+    nucc.select(F.col("code").alias("Code"), F.col("grouping").alias("Grouping"), F.lit("s").alias("Display Name")).coalesce(1).write.csv(at("nucc.csv"), header=True)
+    repeated = centroids.unionByName(spark.createDataFrame([("06510", 0.0, 0.0)], schemas.CENTROIDS))
+    repeated.coalesce(1).write.csv(at("centroids.csv"), header=True)
+    for year in (2018, 2019):
+        for r in voters.select("state").distinct().collect():
+            part = voters.where(F.col("state") == r.state).drop("state", "year")
+            if year == 2019:
+                part = part.withColumnRenamed("CommercialData_Occupation", "ConsumerData_Occupation_of_Person")
+            part.write.parquet(at(f"voters/state={r.state}/year={year}/month=06/day=01"))
+            part.withColumn("LALVOTERID", F.lit("stale")).write.parquet(at(f"voters/state={r.state}/year={year}/month=5/day=30"))
+    labelled.where("match = 0").write.parquet(at("labels/one.parquet"))
+    labelled.where("match = 1").drop("mid_name_agree").write.parquet(at("labels/two.parquet"))
+    from linkwright.plans.build import Inputs
+
+    return Inputs({2018: at("core201812.csv"), 2019: at("core_201912.parquet")}, [at(newest)], at("cms.csv"), at("nucc.csv"), at("centroids.csv"), at("voters"), [at("labels/one.parquet"), at("labels/two.parquet")])
+
+
+def test_build_from_files_to_files(spark, tmp_path):
+    from linkwright.plans import build
+
+    inputs, out = source_files(spark, tmp_path), str(tmp_path / "out")
+    cfg = config.LinkageConfig(years=[2018, 2019], states=["CT", "NY"], trees=20, min_fill_prob=0.0)
+    tables = build.build(spark, inputs, out, cfg)
+    physicians = spark.read.parquet(f"{out}/physician_data")
+    assert rows(physicians, "npi", "year", "zip") == [(101, 2018, "06510"), (101, 2019, "06510"), (102, 2018, "06510"), (102, 2019, "06510"), (103, 2018, "10001")]
+    assert {"display_name", "grd_yr", "med_sch", "addr_source"} <= set(physicians.columns)
+    assert rows(spark.read.parquet(f"{out}/lsh_pairs"), "npi", "LALVOTERID", "year", "state") == [(101, "V1", 2018, "CT"), (101, "V1", 2019, "CT"), (103, "V3", 2018, "NY")]
+    assert rows(spark.read.parquet(f"{out}/cross_border_pairs"), "npi", "LALVOTERID", "year", "state") == [(102, "V2", 2018, "CT"), (102, "V2", 2019, "CT")]
+    assert {"phys_mid_name_len", "voters_mid_name_len", "full_name.x", "full_name.y", "year_dist", "zip_dist"} <= set(tables["lsh_pairs"].columns)
+    assert tables["cross_border_pairs"].first()["zip_dist"] == pytest.approx(67.649, abs=1e-3)  # the first centroid of a repeated code
+    assert spark.read.parquet(f"{out}/scored_pairs").count() == 5 and spark.read.parquet(f"{out}/physician_matches").count() == 3
+    assert rows(spark.read.parquet(f"{out}/panel_gap_summary"), "n_gaps") == [(0,)]
+    assert (tmp_path / "out/physician_data/year=2018/state=CT").is_dir()
+    # a rerun of one year replaces its partitions and leaves the other year's
+    changed = tables["physician_data"].where("year = 2018 and state = 'CT'").withColumn("zip", F.lit("00000")).collect()
+    again = build.written(out)("physician_data", spark.createDataFrame(changed, tables["physician_data"].schema))
+    assert rows(again, "npi", "year", "zip") == [(101, 2018, "00000"), (101, 2019, "06510"), (102, 2018, "00000"), (102, 2019, "06510"), (103, 2018, "10001")]
+    with pytest.raises(checks.NotUnique):
+        build.written(out)("physician_matches", spark.createDataFrame([(1,), (1,)], "npi long"))
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "core.csv").write_text("pmailzip,npi,entity,pfname,pmname,plname,plocstatename,ploczip,pmailstatename,more\n00501,12,1,Ann,,Quill,CT,06510,NY,x\n,x,2,,,,,,,\n")
+    got = readers.read_provider_core(spark, str(tmp_path / "core.csv"))
+    assert got.schema == schemas.PROVIDER_CORE and [(r.npi, r.ploczip, r.pmailzip, r.pmname) for r in got.orderBy("npi").collect()] == [(None, None, None, None), (12, "06510", "00501", None)]
+    got.write.parquet(str(tmp_path / "core.parquet"))
+    assert readers.read_provider_core(spark, str(tmp_path / "core.parquet")).schema == schemas.PROVIDER_CORE
+    (tmp_path / "c.csv").write_text("zcta5,intptlat,intptlong\n00501,40.8,-73.0\n00501,1.0,2.0\n06510,41.3,-72.9\n")
+    assert rows(readers.read_centroids(spark, str(tmp_path / "c.csv")), "zcta5", "intptlat") == [("00501", 40.8), ("06510", 41.3)]
+    (tmp_path / "n.csv").write_text("Code,Display Name,NPI\n0A,b,7\n")
+    assert readers.read_csv(spark, str(tmp_path / "n.csv"), headers="snake").columns == ["code", "display_name", "npi"]
+    (tmp_path / "a.csv").write_text("NPI,grd_yr,med_sch,Zip\n7,1990,S,00501\n8,old,,\n")
+    assert [tuple(r) for r in readers.read_attributes(spark, str(tmp_path / "a.csv")).orderBy("npi").collect()] == [(7, 1990, "S"), (8, None, None)]
+    frame = spark.createDataFrame([(1, 2018, "a"), (2, 2019, "b")], "id int, year int, x string")
+    path = str(tmp_path / "set")
+    readers.write_dataset(frame, path, ("year",))
+    out = readers.write_dataset(spark.createDataFrame([(3, 2019, "c")], frame.schema), path, ("year",))
+    assert rows(out, "id", "year", "x") == [(1, 2018, "a"), (3, 2019, "c")]
+    assert rows(readers.write_dataset(frame, str(tmp_path / "plain")), "id") == [(1,), (2,)] == rows(readers.write_dataset(frame, str(tmp_path / "plain")), "id")
+    readers.write_single(frame, str(tmp_path / "one"))
+    assert len(list((tmp_path / "one").glob("part-*"))) == 1
+    more = frame.withColumn("extra", F.lit(1))
+    more.write.parquet(str(tmp_path / "more"))
+    both = readers.read_parquet(spark, str(tmp_path / "plain"), str(tmp_path / "more"))
+    assert both.count() == 4 and "extra" in both.columns and readers.read_parquet(spark, str(tmp_path / "more"), columns=frame.schema).columns == frame.columns
+
+
+def test_fetch_over_http(tmp_path):
+    import functools
+    import http.server
+    import threading
+
+    site = tmp_path / "site"
+    site.mkdir()
+    (site / "full.csv").write_text("npi\n1\n")
+    (site / "empty.csv").write_text("")
+    handler = functools.partial(http.server.SimpleHTTPRequestHandler, directory=str(site))
+    handler.log_message = lambda *a: None
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), handler) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        url, to = f"http://127.0.0.1:{server.server_address[1]}", tmp_path / "to"
+        assert open(catalogue.fetch(f"{url}/full.csv", str(to))).read() == "npi\n1\n"
+        (site / "full.csv").write_text("changed")
+        assert open(catalogue.fetch(f"{url}/full.csv", str(to))).read() == "npi\n1\n"  # what is there is left alone
+        with pytest.raises(OSError):
+            catalogue.fetch(f"{url}/empty.csv", str(to))
+        with pytest.raises(OSError):
+            catalogue.fetch(f"{url}/none.csv", str(to))
+        assert [p.name for p in to.iterdir() if not p.name.endswith(".part")] == ["full.csv"]
+        server.shutdown()
+
+
 def test_scope_catalogue_and_fetch(monkeypatch, tmp_path):
     assert config.scoped_years() == list(range(2018, 2026)) and len(config.scoped_states()) == 51
     monkeypatch.setenv(config.YEARS_VARIABLE, "2018, 2019")
@@ -211,6 +315,9 @@ def test_kappa_and_samples(spark):
     data = [(1, 1)] * 20 + [(1, 0)] * 5 + [(0, 1)] * 10 + [(0, 0)] * 15
     k = sampling.coder_agreement(spark.createDataFrame(data, "a int, b int"), "a", "b").first()
     assert k.n == 50 and k.agreement == pytest.approx(0.7) and k.kappa == pytest.approx(0.4)
+    coder = lambda m: spark.createDataFrame(m, "observation int, match int, note string")
+    both = sampling.joined_labels(coder([(1, 1, ""), (2, 0, ""), (3, 1, "")]), coder([(2, 0, ""), (3, 0, ""), (4, 1, "")]))
+    assert rows(both, "observation", "match.x", "match.y") == [(2, 0, 0), (3, 1, 0)] and sampling.coder_agreement(both, "match.x", "match.y").first().agreement == 0.5
     pairs = spark.range(3000).withColumn("year_dist", F.col("id") % 50)
     parts = sampling.training_samples(pairs, "id")
     assert {k: v.count() for k, v in parts.items()} == {"rough": 1500, "part_1": 350, "part_2": 800, "part_3": 350, "positives": 0, "negatives": 600}
