@@ -16,7 +16,7 @@ def draw(frame: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
 def training_samples(pairs: DataFrame, *key: str, seed: int = 0, total: int = 1500, sizes: tuple[int, ...] = (350, 800, 350), negatives: int = 800) -> dict[str, DataFrame]:
     """Overlapping parts to label by hand, and rows whose label a rule gives."""
     rough = draw(pairs.withColumn("match", F.lit(None).cast("double")), total, seed, *key)
-    parts = {f"part_{i + 1}": rough.orderBy(F.xxhash64(F.lit(seed + i + 1), "observation")).limit(n) for i, n in enumerate(sizes)}
+    parts = {f"part_{i + 1}": draw(rough.withColumnRenamed("observation", "_o"), n, seed + i + 1, "_o").drop("observation").withColumnRenamed("_o", "observation") for i, n in enumerate(sizes)}
     suffixed = pairs.where(F.col("Voters_NameSuffix") == "MD").withColumn("match", F.lit(1.0)) if "Voters_NameSuffix" in pairs.columns else pairs.limit(0).withColumn("match", F.lit(1.0))
     too_young = draw(pairs.where("year_dist < 10"), negatives, seed + 1, *key).withColumn("match", F.lit(0.0))
     return {"rough": rough, **parts, "positives": suffixed, "negatives": too_young}

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ..functions.geo import EARTH_MILES
+from ..functions.geo import EARTH_MILES, STATES
+from ..sources.catalogue import CORE_FILES, TAXONOMY_FILES
 from .proxies import YEARS
 from .queries import ADJACENCY_VALUES
 
@@ -206,3 +207,111 @@ WITH t AS (SELECT count(*) AS n, avg(CAST(quality = toxic AS INT)) AS po, avg(qu
 SELECT n, round(po, 9) AS agreement, round((po - pe) / (1 - pe), 9) AS kappa FROM t
 """,
 }
+
+_PEOPLE = """
+people AS (
+  SELECT p_partkey AS key, p_name AS first, CASE WHEN p_partkey % 5 <> 0 THEN substring(p_brand, 7, 10) END AS middle, p_type || ' ' || CAST(p_size AS VARCHAR) AS last,
+    ['CT', 'NY', 'MA', 'RI'][p_partkey % 4 + 1] AS state, CAST(2018 + (p_partkey // 4) % 2 AS INT) AS year, lpad(CAST(p_partkey * 7 % 60 AS VARCHAR), 5, '0') || '-0001' AS zip, (p_partkey // 8) % 3 = 0 AS is_left FROM part
+), named AS (
+  SELECT *, lower(first || coalesce(middle, '') || last) AS full_name, lower(first || last) AS short_name, lower(state) AS st, lower(left(coalesce(middle, ''), 1)) AS mi,
+    regexp_replace(lower(first || coalesce(middle, '') || last), '[^\\p{L}\\p{N}]', '', 'g') AS whole_key, regexp_replace(lower(first || last), '[^\\p{L}\\p{N}]', '', 'g') AS short_key FROM people
+), providers AS (SELECT * FROM named WHERE is_left), voters AS (SELECT * FROM named WHERE NOT is_left)
+"""
+_ADJACENT = f"adjacent AS (SELECT a, b FROM (VALUES {ADJACENCY_VALUES}) p(a, b) UNION SELECT b, a FROM (VALUES {ADJACENCY_VALUES}) p(a, b))"
+
+
+def _matches(left: str, on: str) -> str:
+    """Stage pairs: whole names alike, or short ones with one middle name of a letter at most."""
+
+    def near(name: str, more: str) -> str:
+        side = lambda f, s: f"(SELECT *, len(g) AS n, unnest(g) AS t FROM (SELECT *, {_grams(name, 3)} AS g FROM {f})) {s}"
+        return f"""SELECT l.key AS x, r.key AS y FROM {side(left, "l")} JOIN {side("voters", "r")} ON l.t = r.t AND {on}{more}
+          GROUP BY l.key, r.key, l.n, r.n HAVING count(*) / (l.n + r.n - count(*)) >= 0.7"""
+
+    return f"""
+      SELECT x, y FROM ({near("whole_key", "")})
+      UNION
+      SELECT x, y FROM ({near("short_key", " AND l.mi = r.mi")}) JOIN providers a ON a.key = x JOIN voters b ON b.key = y WHERE len(coalesce(a.middle, '')) <= 1 OR len(coalesce(b.middle, '')) <= 1
+    """
+
+
+def _features(pairs: str) -> str:
+    mid = lambda s: f"lower(coalesce({s}.middle, ''))"
+    return f"""
+, featured AS (
+  SELECT l.key AS npi, 'V' || CAST(r.key AS VARCHAR) AS LALVOTERID, {_grams("l.full_name", 3)} AS gx, {_grams("r.full_name", 3)} AS gy, {_grams(mid("l"), 2)} AS mx, {_grams(mid("r"), 2)} AS my, l.st = r.st AS state_agree,
+    l.mi = r.mi AS mid_initial_agree, CAST(len(coalesce(l.middle, '')) AS INT) AS phys_mid_name_len, CAST(len(coalesce(r.middle, '')) AS INT) AS voters_mid_name_len, CAST(1960 + l.key % 40 - (1930 + r.key % 50) AS INT) AS year_dist,
+    CASE WHEN a.lat IS NOT NULL AND b.lat IS NOT NULL THEN round({_MILES}, 6) END AS zip_dist
+  FROM {pairs} JOIN providers l ON l.key = x JOIN voters r ON r.key = y LEFT JOIN points a ON lpad(CAST(a.n_nationkey * 3 AS VARCHAR), 5, '0') = left(l.zip, 5) LEFT JOIN points b ON lpad(CAST(b.n_nationkey * 3 AS VARCHAR), 5, '0') = left(r.zip, 5)
+)
+SELECT npi, LALVOTERID, {_jaccard("gx", "gy")} AS full_name_sim, state_agree, mid_initial_agree, {_jaccard("mx", "my")} AS mid_name_agree, phys_mid_name_len, voters_mid_name_len, year_dist, zip_dist FROM featured
+"""
+
+
+def _literal(value: object) -> str:
+    return "NULL" if value is None else str(value) if isinstance(value, int) else f"'{value}'"
+
+
+def _values(rows) -> str:
+    return ", ".join(f"({', '.join(map(_literal, r))})" for r in rows)
+
+
+_STAGE_A = f"WITH {_PEOPLE}, {_POINTS}, first_pairs AS ({_matches('providers', 'l.year = r.year AND l.state = r.state')})"
+_SAMPLE = "SELECT doc_id, row_number() OVER (ORDER BY md5('0|' || CAST(doc_id AS VARCHAR)), doc_id) AS o FROM documents"
+
+
+def _part(k: int, n: int) -> str:
+    return f"SELECT 'part_{k}' AS part, doc_id, CAST(NULL AS DOUBLE) AS match FROM rough WHERE o <= 300 QUALIFY row_number() OVER (ORDER BY md5('{k}|' || CAST(o AS VARCHAR)), o) <= {n}"
+
+
+SQL |= {
+    "provider_names": f"WITH {_PEOPLE} SELECT key AS npi, full_name, short_name AS full_name_no_mid, st, mi, first AS frst_nm, middle AS mid_nm, last AS last_nm FROM providers",
+    "voter_columns": f"""
+WITH {_PEOPLE}, v AS (SELECT *, CASE key % 3 WHEN 0 THEN 'Medical-Doctor' WHEN 1 THEN 'Unknown' END AS job FROM voters)
+SELECT 'V' || CAST(key AS VARCHAR) AS LALVOTERID, first AS Voters_FirstName, middle AS Voters_MiddleName, last AS Voters_LastName, state AS Residence_Addresses_State, zip AS Residence_Addresses_Zip, state, year, job AS CommercialData_Occupation,
+  full_name, short_name AS full_name_no_mid_l2, st, mi, coalesce(contains(job, 'Medical'), false) AS medical, coalesce(job = 'Unknown', true) AS na_medical, CASE WHEN contains(job, 'Medical') THEN job ELSE 'None' END AS medical_sub FROM v
+""",
+    "stage_a_pairs": _STAGE_A + _features("first_pairs"),
+    "stage_b_pairs": f"""{_STAGE_A}, {_ADJACENT}, sure AS (
+  SELECT x FROM (SELECT x, {_grams("l.full_name", 3)} AS gx, {_grams("r.full_name", 3)} AS gy FROM first_pairs JOIN providers l ON l.key = x JOIN voters r ON r.key = y)
+  WHERE len(list_intersect(gx, gy)) / (len(gx) + len(gy) - len(list_intersect(gx, gy))) >= 0.85 GROUP BY x HAVING count(*) = 1
+), rest AS (
+  SELECT p.*, b AS nb_state FROM providers p JOIN adjacent ON a = state WHERE key NOT IN (SELECT x FROM sure) AND (year, state) IN (SELECT (year, state) FROM voters)
+), second_pairs AS ({_matches('rest', 'l.year = r.year AND l.nb_state = r.state')})""" + _features("second_pairs"),
+    "source_catalogue": f"SELECT kind, vintage, CAST(month AS INT) AS month, format, url FROM (VALUES {_values([('core', str(f.year), f.month, f.format, f.url) for f in CORE_FILES] + [('taxonomy', v, None, None, u) for v, u in TAXONOMY_FILES.items()])}) t(kind, vintage, month, format, url)",
+    "scoped_grid": f"SELECT CAST(y AS INT) AS year, s AS state FROM (SELECT unnest(range(2018, 2026)) AS y), (VALUES {_values((s,) for s in STATES)}) t(s)",
+    "core_files": """
+WITH c AS (
+  SELECT c_custkey AS npi, CAST(CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 1 END AS INT) AS entity, c_name AS pfname, CAST(NULL AS VARCHAR) AS pmname, c_mktsegment AS plname, CASE WHEN c_custkey % 7 <> 0 THEN 'CT' END AS plocstatename,
+    lpad(CAST(c_custkey % 1000 AS VARCHAR), 5, '0') AS ploczip, 'NY' AS pmailstatename, lpad(CAST(c_custkey % 60 AS VARCHAR), 5, '0') || '-0001' AS pmailzip FROM customer
+)
+SELECT *, CAST(2018 AS INT) AS year FROM c UNION ALL SELECT *, CAST(2019 AS INT) AS year FROM c WHERE npi % 2 = 0
+""",
+    "taxonomy_files": """
+WITH t AS (
+  SELECT o_custkey AS npi, CAST(ceil((o_orderkey % 8 + 1) / 4) AS INT) AS seq, ['2019-12', '2025-12', '2023-05', NULL][o_orderkey % 4 + 1] AS vintage, min(o_orderpriority) AS code FROM orders GROUP BY ALL
+)
+SELECT npi, code AS taxonomy_code FROM t WHERE seq = 1 AND vintage IS NOT NULL QUALIFY row_number() OVER (PARTITION BY npi ORDER BY vintage DESC, code) = 1
+""",
+    "loose_csv": "SELECT c_custkey AS npi, CAST(CASE WHEN c_custkey % 3 <> 0 THEN 1950 + c_custkey % 50 END AS INT) AS grd_yr, c_mktsegment AS med_sch FROM customer",
+    "centroid_file": "SELECT lpad(CAST(n_nationkey % 7 AS VARCHAR), 5, '0') AS zcta5, CAST(max(25 + n_nationkey) AS DOUBLE) AS intptlat, CAST(max(n_nationkey - 120) AS DOUBLE) AS intptlong FROM nation GROUP BY n_nationkey % 7",
+    "snapshot_tree": """
+WITH e AS (SELECT event_id, upper(left(event_type, 2)) AS state, CAST(year(ts) AS INT) AS year, CAST(month(ts) AS INT) AS month, CAST(day(ts) AS INT) AS day FROM events),
+n AS (SELECT state, year, max(month * 100 + day) AS d FROM e GROUP BY ALL)
+SELECT e.*, 'year=' || CAST(year AS VARCHAR) || '/state=' || state AS subdir FROM e JOIN n USING (state, year) WHERE month * 100 + day = d
+""",
+    "replaced_partitions": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN -o_custkey ELSE o_custkey END AS o_custkey, o_orderstatus FROM orders",
+    "several_files": "SELECT doc_id, quality, CASE WHEN doc_id % 2 = 0 THEN toxic END AS toxic FROM labels",
+    "training_parts": f"""
+WITH rough AS ({_SAMPLE} QUALIFY o <= 300)
+SELECT 'rough' AS part, doc_id, CAST(NULL AS DOUBLE) AS match FROM rough
+UNION ALL FROM ({_part(1, 70)}) UNION ALL FROM ({_part(2, 160)}) UNION ALL FROM ({_part(3, 70)})
+UNION ALL SELECT 'positives', doc_id, 1.0 FROM documents WHERE doc_id % 50 = 0
+UNION ALL FROM (SELECT 'negatives', doc_id, 0.0 FROM documents WHERE doc_id % 30 < 10 QUALIFY row_number() OVER (ORDER BY md5('1|' || CAST(doc_id AS VARCHAR)), doc_id) <= 160)
+""",
+    "coder_join": "SELECT doc_id AS observation, quality AS match_x, toxic AS match_y FROM labels WHERE doc_id % 3 = 2",
+    "sql_functions": f"""
+WITH n AS (SELECT n_nationkey, 25.0::DOUBLE + n_nationkey AS lat, -120.0::DOUBLE AS lon, -100.5::DOUBLE AS lon2, {_grams("n_name", 2)} AS g FROM nation)
+SELECT a.n_nationkey AS a, b.n_nationkey AS b, {_jaccard("a.g", "b.g")} AS sim, round({_MILES.replace("b.lon", "b.lon2")}, 6) AS miles FROM n a JOIN n b ON b.n_nationkey = a.n_nationkey + 1
+""",
+}
