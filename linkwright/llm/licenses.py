@@ -3,18 +3,18 @@
 ``scan_licenses(docs)`` finds, in every whole text, the passages whose bigrams agree with those of
 a licence template: 2 * common / (passage + template) >= ``DICE`` counted as sets. Texts are
 normalised to lower-case words of letters and digits. A template with m bigrams can only match a
-passage of between m * DICE / (2 - DICE) and m * (2 - DICE) / DICE bigrams, and only where enough
-of its own bigrams stand within that length: these bounds leave few places, which are then compared
-exactly, growing and shrinking the passage to the best coefficient.
+passage that has at least m * DICE / (2 - DICE) of them and at most m * (2 / DICE - 2) distinct others:
+these size bounds leave few templates and places, which are then compared exactly, however far a
+passage with repeated words reaches.
 
 One row per document and licence found: id, license_id, dice, first_word (place of the best passage
 among the text's words) and n_words. Cases: NULL or empty texts and texts of one word find nothing;
-a NULL id is carried; repeated rows give repeated results; of equal passages the first counts.
+a NULL id is carried; repeated rows give repeated results; of equal passages the first that no
+shorter one within equals counts; other columns are not carried.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,18 +24,32 @@ from .arrays import group_bounds, lower_ascii, ngrams, prefix_codes, slices, spa
 from .frames import prepared
 
 DICE = 0.8
-#: The notices by which works commonly state their licence.
+#: The notices by which works commonly state their licence, and the texts of short licences.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
+    "MIT-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "BSD-2-Clause-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "ISC-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "Zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.""",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
@@ -70,44 +84,62 @@ def template_bigrams(templates: dict[str, str]) -> dict[str, np.ndarray]:
     return out
 
 
-def dice(a: np.ndarray, b: np.ndarray) -> float:
-    a, b = np.unique(a), np.unique(b)
-    return 2 * len(np.intersect1d(a, b, assume_unique=True)) / (len(a) + len(b))
+def occurrences(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each place, the places of the same bigram before and after; -1 and the length where there is none."""
+    order = np.argsort(grams, kind="stable")
+    same = grams[order[1:]] == grams[order[:-1]]
+    before, after = np.full(len(grams), -1), np.full(len(grams), len(grams))
+    before[order[1:][same]] = order[:-1][same]
+    after[order[:-1][same]] = order[1:][same]
+    return before, after
+
+
+def bounds(m: int, threshold: float) -> tuple[int, int]:
+    """The least common and the most other bigrams of a passage that matches a template of m bigrams."""
+    return int(np.ceil(m * threshold / (2 - threshold) - 1e-9)), int(m * (2 / threshold - 2) + 1e-9)
 
 
-def best_passage(grams: np.ndarray, template: np.ndarray, at: np.ndarray, threshold: float = DICE):
-    """The passage of grams with the best coefficient: (dice, first, last), or None.
+def best_passage(near: tuple[np.ndarray, np.ndarray], at: np.ndarray, m: int, threshold: float = DICE):
+    """The best passage of a text for a template of m bigrams: (dice, first, last), or None.
 
-    ``at``: places in grams that hold bigrams of the template. The best passage begins and ends
-    at such places, since a bigram of no use at its edge only lowers the coefficient.
+    near: what occurrences() gives for the text; at: places that hold bigrams of the template. The
+    best passage begins and ends at such places, and neither bigram stands in it twice, as the
+    passage without it would be as good. So from each beginning the text is read up to the next
+    place of the same bigram, or until it has too many other bigrams.
     """
-    m = len(template)
-    most, best = int(m * (2 - threshold) / threshold), None
-    need = int(np.ceil(m * threshold / (2 - threshold) - 1e-9))
-    for k in range(len(at)):
-        stop = int(np.searchsorted(at, at[k] + 2 * most))
-        if stop - k < need:
-            continue
-        common, seen = set(), set()
-        past = int(at[k])
-        for e in range(k, stop):
-            place = int(at[e])
-            seen.update(grams[past : place + 1].tolist())
-            past = place + 1
-            common.add(int(grams[place]))
-            if len(seen) > most:
+    before, after = near
+    need, others = bounds(m, threshold)
+    own = np.zeros(len(before), bool)
+    own[at] = True
+    fresh = np.cumsum((before < 0) & ~own)  # bigrams not of the template that the text has not had before: no passage has fewer
+    k = len(at) - need + 1
+    best = None
+    if k <= 0:
+        return None
+    for a in at[:k][fresh[at[need - 1 :]] - fresh[at[:k]] <= others].tolist():
+        end, lo, size, seen, common = int(after[a]), a, 4 * m + 16, 0, 0
+        while lo < end:
+            hi = min(end, lo + size)
+            new = before[lo:hi] < a
+            c = common + np.cumsum(new & own[lo:hi])
+            s = seen + np.cumsum(new)
+            stop = int(np.searchsorted(s - c, others, side="right"))
+            score = 2 * c[:stop] / (s[:stop] + m)
+            if stop and (top := float(score.max())) >= threshold and (best is None or top > best[0]):
+                best = (top, a, lo + int(score.argmax()))
+            if stop < hi - lo:
                 break
-            score = 2 * len(common) / (len(seen) + m)
-            if score >= threshold and (best is None or score > best[0]):
-                best = (score, int(at[k]), place)
+            seen, common, lo, size = int(s[-1]), int(c[-1]), hi, 2 * size
+        if best and best[0] == 1:
+            break
     return best
 
 
 def _scan(templates: dict[str, str], threshold: float):
     def run(batches):
-        names = list(templates)
         sets = template_bigrams(templates)
         every = np.unique(np.concatenate(list(sets.values())))
+        member = {name: np.isin(every, x) for name, x in sets.items()}
         for batch in batches:
             ids = batch.column(0)
             data, offsets = text_bytes(batch.column(1))
@@ -115,29 +147,25 @@ def _scan(templates: dict[str, str], threshold: float):
             for i, j in slices(offsets):
                 codes, rows = license_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 grams = ngrams(codes, 2)
-                hits = np.flatnonzero(np.isin(grams, every))
+                which = np.searchsorted(every, grams)
+                which[which == len(every)] = 0
+                hits = np.flatnonzero(every[which] == grams)
                 row = np.searchsorted(rows, hits, side="right") - 1
                 inner = hits + 1 < rows[row + 1] if len(hits) else np.zeros(0, bool)
                 hits, row = hits[inner], row[inner]
-                for name in names:
-                    mine = np.isin(grams[hits], sets[name])
-                    at, of = hits[mine], row[mine]
-                    need = int(np.ceil(len(sets[name]) * threshold / (2 - threshold) - 1e-9))
-                    reach = 2 * int(len(sets[name]) * (2 - threshold) / threshold)
-                    if len(at) < need:
-                        continue
-                    close = np.zeros(len(at), bool)
-                    k = len(at) - need + 1
-                    close[:k] = (at[need - 1 :] - at[:k] < reach) & (of[need - 1 :] == of[:k])
-                    for a, b in group_bounds(of):
-                        if not close[a:b].any():
+                for a, b in group_bounds(row):
+                    r, near = int(row[a]), None
+                    held = np.unique(which[hits[a:b]])
+                    for name, template in sets.items():
+                        if member[name][held].sum() < bounds(len(template), threshold)[0]:
                             continue
-                        found = best_passage(grams, sets[name], at[a:b], threshold)
-                        if found:
-                            out["row"].append(i + int(of[a]))
+                        near = near or occurrences(grams[rows[r] : rows[r + 1] - 1])
+                        at = hits[a:b][member[name][which[hits[a:b]]]] - rows[r]
+                        if found := best_passage(near, at, len(template), threshold):
+                            out["row"].append(i + r)
                             out["license_id"].append(name)
                             out["dice"].append(found[0])
-                            out["first_word"].append(found[1] - int(rows[of[a]]))
+                            out["first_word"].append(found[1])
                             out["n_words"].append(found[2] - found[1] + 2)
             row = pa.array(out.pop("row"), pa.int64())
             kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64())
