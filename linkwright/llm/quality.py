@@ -5,15 +5,16 @@ every document as a sparse dot product. A text is cut into runs of letters, digi
 Its features are hashed 1- and 2-grams of the lower-cased runs and hashed 1- to 3-grams of their
 shapes (kind, case, length class), each family scaled to length one. Scores see the text alone.
 
-Training rows are those whose crc32(id as text) mod 3 is not 1 (the rest is held out), at most
-``TRAIN_ROWS`` of them in the order of a hash of the id and only texts of up to ``TRAIN_BYTES``
-bytes each; this bound is the only thing that does not grow with the input. The weights
-(``1 << BITS`` floats) are the only thing that the driver gets.
+Training rows are those whose crc32(id as text) mod 3 is not 1 (the rest is held out): at most
+``rows`` of them in the order of a hash of the id, only texts of up to ``row_bytes`` bytes each, and
+of these the first with up to ``all_bytes`` bytes together. These three parameters bound the one task
+that learns; nothing else is bounded, and every document is scored. The weights (``1 << BITS``
+floats) are the only thing that the driver gets. A row's score does not depend on the rows around it.
 
 Cases: NULL and empty texts have no features and score the bias alone; a NULL id is not held out
 and never trained on; labels other than 0 and 1 are passed over; a document with several labels is
 learnt with each; with no labels every score is 0.5 (predicted 1); input columns named as an output
-column are replaced.
+column are replaced (``names`` gives the output other names).
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from .arrays import U64, lower_ascii, mix, ngrams, prefix_codes, slices, span_ha
 from .frames import prepared, release
 
 BITS = 18
-TRAIN_ROWS = 6_000
-TRAIN_BYTES = 1 << 17
+#: Default bounds of the training sample: rows, bytes of one text, bytes of all texts.
+TRAIN_ROWS, ROW_BYTES, ALL_BYTES = 6_000, 1 << 17, 64 << 20
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-4, 1e-5
 
@@ -101,18 +102,23 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epoc
     return weights(np.arange(size)).astype(np.float32)
 
 
-def _train_task(batches):
-    rows = []
-    for batch in batches:
-        data, offsets = text_bytes(batch.column(0))
-        labels = batch.column(1).to_pylist()
-        for i, j in slices(offsets):
-            first, at, x = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            rows += [(at[a:b], x[a:b], y) for a, b, y in zip(first[:-1], first[1:], labels[i:j], strict=True)]
-    yield pa.RecordBatch.from_pydict({"weights": pa.array([train(rows).tobytes()] if rows else [], pa.binary())})
+def _train_task(all_bytes: int):
+    def run(batches):
+        rows, left = [], all_bytes
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(0))
+            labels = batch.column(1).to_pylist()
+            fits = int(np.searchsorted(offsets, left, side="right")) - 1
+            left = left - int(offsets[fits]) if fits == batch.num_rows else -1
+            for i, j in slices(offsets[: fits + 1]):
+                first, at, x = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                rows += [(at[a:b], x[a:b], y) for a, b, y in zip(first[:-1], first[1:], labels[i:j], strict=True)]
+        yield pa.RecordBatch.from_pydict({"weights": pa.array([train(rows).tobytes()] if rows else [], pa.binary())})
+
+    return run
 
 
-def _score_task(raw: bytes, text_col: str, schema: pa.Schema):
+def _score_task(raw: bytes, text_col: str, schema: pa.Schema, names: tuple[str, str, str]):
     def run(batches):
         w = np.frombuffer(raw, np.float32)
         for batch in batches:
@@ -120,10 +126,9 @@ def _score_task(raw: bytes, text_col: str, schema: pa.Schema):
             score = np.full(batch.num_rows, float(w[-1]) if len(w) else 0.0)
             for i, j in slices(offsets, 512 << 10) if len(w) else ():
                 first, at, x = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                sums = np.concatenate(([0.0], np.cumsum(w[at].astype(float) * x)))
-                score[i:j] += sums[first[1:]] - sums[first[:-1]]
+                score[i:j] += np.bincount(np.repeat(np.arange(j - i), np.diff(first)), w[at].astype(float) * x, minlength=j - i)
             score = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-            new = {"score": pa.array(score), "predicted": pa.array((score >= 0.5).astype(np.int32))}
+            new = {names[1]: pa.array(score), names[2]: pa.array((score >= 0.5).astype(np.int32))}
             yield pa.RecordBatch.from_arrays([new[k] if k in new else batch.column(batch.schema.get_field_index(k)) for k in schema.names], schema=schema)
 
     return run
@@ -133,28 +138,30 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> bytes:
-    """Weights learnt from at most ``rows`` labelled documents; empty where nothing is labelled."""
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS, row_bytes: int = ROW_BYTES, all_bytes: int = ALL_BYTES) -> bytes:
+    """Weights learnt from the sample that rows, row_bytes and all_bytes bound; empty where nothing is labelled."""
     known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").where(~held_out("_id"))
     known = known.distinct().orderBy(F.xxhash64("_id"), "_id", "_y").limit(rows)
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where(F.octet_length("_text") <= TRAIN_BYTES)
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where(F.octet_length("_text") <= row_bytes)
     # the sample has a fixed size, so it is broadcast and the documents are not shuffled
-    drawn = texts.join(F.broadcast(known), "_id").select("_text", "_y", "_id").repartition(1).sortWithinPartitions(F.xxhash64("_id"), "_id", "_y", F.xxhash64("_text"))
-    found = drawn.select("_text", "_y").mapInArrow(_train_task, "weights binary").collect()
+    # and an id that stands on several rows is learnt by one of its texts
+    drawn = texts.join(F.broadcast(known), "_id").groupBy("_id", "_y").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+    drawn = drawn.repartition(1).sortWithinPartitions(F.xxhash64("_id"), "_id", "_y")
+    found = drawn.select("_text", "_y").mapInArrow(_train_task(all_bytes), "weights binary").collect()
     return bytes(found[0][0]) if found else b""
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """docs with held_out, score (0 to 1) and predicted (0 or 1)."""
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", names: tuple[str, str, str] = ("held_out", "score", "predicted")) -> DataFrame:
+    """docs with held_out, score (0 to 1) and predicted (0 or 1); names: what these columns are called."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     prepared(docs.sparkSession)
-    docs = docs.select(*[c for c in docs.columns if c not in ("held_out", "score", "predicted") or c in (id_col, text_col)])
+    docs = docs.select(*[c for c in docs.columns if c not in names or c in (id_col, text_col)])
     raw = fit_quality(docs, labels, id_col, text_col, label_col)
     release(docs.sparkSession)
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    scored = docs.mapInArrow(_score_task(raw, text_col, to_arrow_schema(schema)), schema)
-    return scored.withColumn("held_out", held_out(id_col))
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.IntegerType())])
+    scored = docs.mapInArrow(_score_task(raw, text_col, to_arrow_schema(schema), names), schema)
+    return scored.withColumn(names[0], held_out(id_col))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
