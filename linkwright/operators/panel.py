@@ -16,21 +16,18 @@ def best_per_year(scored: DataFrame) -> DataFrame:
 def reconcile(panel: DataFrame) -> DataFrame:
     """One row per npi: the best match over all years with what the panel says around it.
 
-    Both aggregations group by npi, so the panel is shuffled once; the best row is an arg-min over a
-    total order (probability, then voter, then year) that combines before the shuffle.
+    One aggregation: the best row is an arg-min over a total order (probability, then voter, then year),
+    and the best is tied if the order by falling voters ends at another voter; both combine before the shuffle.
     """
-    rank = F.struct(-F.col("match_prob"), F.col("LALVOTERID"), F.col("year"))
-    best = F.min_by(F.struct("LALVOTERID", "match_prob", "year", "state_agree"), rank)
-    top = panel.groupBy("npi").agg(F.max("match_prob").alias("_max"))
+    best = F.min_by(F.struct("LALVOTERID", "match_prob", "year", "state_agree"), F.struct(-F.col("match_prob"), F.col("LALVOTERID"), F.col("year")))
     return (
-        panel.join(top, "npi")
-        .groupBy("npi")
+        panel.groupBy("npi")
         .agg(
             best.alias("b"),
+            F.max_by("LALVOTERID", F.struct("match_prob", "LALVOTERID")).alias("_last"),
             F.count_distinct("year").alias("n_years_matched"),
             F.count_distinct("LALVOTERID").alias("n_distinct_voters"),
             F.bool_or("tied").alias("any_tied_in_year"),
-            F.count_distinct(F.when(F.col("match_prob") == F.col("_max"), F.col("LALVOTERID"))).alias("_top_voters"),
         )
         .select(
             "npi",
@@ -41,7 +38,7 @@ def reconcile(panel: DataFrame) -> DataFrame:
             "n_distinct_voters",
             (F.col("n_distinct_voters") > 1).alias("mover"),
             "any_tied_in_year",
-            (F.col("_top_voters") > 1).alias("best_is_tied"),
+            (F.col("_last") != F.col("b.LALVOTERID")).alias("best_is_tied"),
             (~F.col("b.state_agree")).alias("best_cross_border"),
         )
     )
