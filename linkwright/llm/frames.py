@@ -51,14 +51,16 @@ def durable(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def release(spark: SparkSession, wait: float = 0.0) -> None:
+def release(spark: SparkSession, wait: float = 0.2) -> None:
     """Lets Spark remove shuffle files (and checkpoints, where the session cleans them) that no frame refers to any more.
 
-    Executors remove them in the background; wait: seconds given to them before more files are written.
+    What the last job used is found unused in the second turn only. wait: seconds a turn, given to the
+    executors, which remove files in the background.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(wait)
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(wait)
 
 
 def text_volume(docs: DataFrame, column: str = "text") -> int:

@@ -1,10 +1,17 @@
 """LM scoring: stupid-backoff scores of every document under the n-gram counts of the other ones.
 
-Counts are tables partitioned by n-gram hash. A shard of texts sends each distinct n-gram with its
-own count to the n-gram's bucket; there counts are summed and joined back to the n-grams that asked
-for them. Orders 1 and 2 go first; a longer n-gram is only sent where both of its shorter parts
-occur in another document, as it cannot otherwise. The document's own occurrences are taken off, so
-that no text vouches for itself, and the scores are summed per document:
+Tables and joins, in packed columns (a row holds the n-grams that one shard of texts has of one hash
+bucket: their hashes, and counts aligned with them):
+
+* exploded n-grams: each shard's distinct n-grams with its own count of each, by hash bucket
+  (counted before anything is sent, so a frequent n-gram is one entry a shard);
+* count table: for each bucket, its n-grams with the sums of their counts over all shards;
+* join: each entry of the exploded n-grams meets its row of the count table, and goes back to its
+  shard, where the scores of its documents are summed.
+
+Orders 1 and 2 go first; a longer n-gram is only sent where both of its shorter parts occur in
+another document, as it cannot otherwise. ``ngram_counts`` gives the count table alone, one row for
+each n-gram. The document's own occurrences are taken off, so that no text vouches for itself:
 
     S(w | context) = c(context w) / c(context) where c(context w) > 0, else ALPHA * S(w | shorter context)
     S(w) = c(w) / T, or ALPHA / (T + 1) for a word that no other document has
@@ -75,7 +82,7 @@ class Grams:
         at, names, which, _, cuts = self.pieces(order, buckets)
         every = np.zeros(len(names), np.int64)
         for bucket, a, b in cuts:
-            every[a:b] = unpack(replies[bucket], np.uint32)[0]
+            every[a:b] = unpack(replies[bucket], np.int64)[0]
         _, mine, own = np.unique(which * len(self.n_words) + self.doc[at], return_inverse=True, return_counts=True)
         out = np.zeros(len(self.codes), np.int64)
         out[at] = every[which] - own[mine]
@@ -110,7 +117,7 @@ def _requests(shard: int, grams: Grams, orders, buckets: int) -> pa.Table:
             out["bucket"].append(bucket)
             out["shard"].append(shard)
             out["total"].append(int(count[a:b].sum()))
-            out["blob"].append(pack(np.diff(names[a:b], prepend=U64(0)), count[a:b].astype(np.uint32)))
+            out["blob"].append(pack(np.diff(names[a:b], prepend=U64(0)), count[a:b].astype(np.int64)))
     return pa.table(out, schema=_SCHEMA)
 
 
@@ -141,17 +148,32 @@ def _next(order: int, buckets: int):
     return run
 
 
-def _count(table: pa.Table) -> pa.Table:
-    """Sums the counts of a bucket's n-grams and answers every piece in its own order."""
-    pieces = [unpack(x, U64, np.uint32) for x in table["blob"].to_pylist()]
-    names = np.concatenate([np.cumsum(p[0], dtype=U64) for p in pieces])
+def _exploded(table: pa.Table) -> list[list[np.ndarray]]:
+    """A bucket's entries by shard: hashes and own counts."""
+    pieces = [unpack(x, U64, np.int64) for x in table["blob"].to_pylist()]
+    return [[np.cumsum(names, dtype=U64), count] for names, count in pieces]
+
+
+def count_table(pieces: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted n-gram hashes of a bucket with the sums of their counts (64 bits)."""
+    names = np.concatenate([names for names, _ in pieces])
     order = np.argsort(names, kind="stable")
-    head = group_starts(names[order])
-    sums = np.add.reduceat(np.concatenate([p[1] for p in pieces]).astype(np.int64)[order], head)
-    every = np.empty(len(names), np.uint32)
-    every[order] = np.repeat(np.minimum(sums, 0xFFFFFFFF), np.diff(np.append(head, len(names))))
-    cuts = np.cumsum([0, *(len(p[0]) for p in pieces)])
-    return table.set_column(3, "blob", pa.array([pack(every[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
+    names = names[order]
+    head = group_starts(names)
+    return names[head], np.add.reduceat(np.concatenate([count for _, count in pieces])[order], head)
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """Joins the entries of a bucket with its count table: a count for each entry, in its shard's order."""
+    pieces = _exploded(table)
+    names, sums = count_table(pieces)
+    joined = [pack(sums[np.searchsorted(names, own)]) for own, _ in pieces]
+    return table.set_column(3, "blob", pa.array(joined, pa.binary()))
+
+
+def _counts_alone(table: pa.Table) -> pa.Table:
+    names, sums = count_table(_exploded(table))
+    return pa.table({"gram": names.view(np.int64), "n": sums})
 
 
 def _score(order: int, buckets: int, total: int, schema: pa.Schema):
@@ -175,16 +197,27 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     replies = counted(shards.mapInArrow(_first(range(1, min(2, order) + 1), buckets), _COUNTS))
     total = int(replies.where(F.col("bucket") < 2 * buckets).agg(F.sum("total")).first()[0] or 0)
     for k in range(3, order + 1):
-        release(spark)
+        release(spark, 1.0)
         # no name is kept for the n-grams sent, so that their shuffle files can go before the scores
         replies = replies.unionByName(counted(shards.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(_next(k, buckets), _COUNTS)))
-    release(spark)
+    release(spark, 1.0)
     schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
     scored = shards.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(_score(order, buckets, total, schema), "id long, n_words long, log_score double")
     mean = F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6))
     return scored.select(F.col("id").alias(id_col), "n_words", F.round("log_score", 4).alias("log_score"), mean.alias("mean_log"))
 
 
+def ngram_counts(docs: DataFrame, order: int, text_col: str = "text", shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(gram, n): 64-bit hashes of all n-grams of one order (1 or 2; longer ones with shorter parts in two documents only come with scores), partitioned by hash."""
+    if order not in (1, 2):
+        raise ValueError("order is 1 or 2")
+    prepared(docs.sparkSession)
+    rows = docs.select(F.lit(0).cast("long").alias("id"), F.col(text_col).alias("text"))
+    buckets = max(4, -(-text_volume(rows) // bucket_bytes))
+    shards = durable(rows.mapInArrow(_pack_shards("id", "text", shard_bytes), "shard long, blob binary"))
+    return shards.mapInArrow(_first((order,), buckets), _COUNTS).groupBy("bucket").applyInArrow(_counts_alone, "gram long, n long")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     from .frames import documents
 
