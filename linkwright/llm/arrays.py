@@ -19,14 +19,14 @@ SLICE_BYTES = 2 << 20
 
 
 def _lean_worker() -> None:
-    """In a Python worker: freed arrays and Arrow buffers of over 1 MB go back to the system at once, so that an idle worker is small."""
+    """In a Python worker: freed arrays and Arrow buffers of over 8 MB go back to the system at once, so that an idle worker is small."""
     pa.set_memory_pool(pa.system_memory_pool())
     try:
         mallopt = ctypes.CDLL(None).mallopt
     except (AttributeError, OSError):  # another C library than glibc
         return
-    mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-    mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+    mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD
+    mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD
 
 
 if TaskContext.get() is not None:

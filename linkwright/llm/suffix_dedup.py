@@ -61,7 +61,7 @@ _LAST = np.iinfo(np.int64).max
 def suffix_array(text: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and ranks of non-negative symbols below 2**15, by Larsson-Sadakane refinement.
 
-    Suffixes are ordered by their first four symbols; then every group of suffixes that still tie
+    Suffixes are ordered by their first eight symbols (four, if there are symbols over 254); then every group of suffixes that still tie
     is ordered by the ranks that stand h places on, h doubling, and settled groups are left alone.
     With ``depth`` it stops when ties agree in that many symbols; equal ranks then mark such ties.
     """
@@ -69,16 +69,16 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> tuple[np.ndarray
     kind = np.int32 if n < 1 << 31 else np.int64
     if not n:
         return np.zeros(0, kind), np.zeros(0, kind)
-    first = np.zeros(n, np.int64)
-    for k in range(min(4, n)):
-        first[: n - k] |= (text[k:].astype(np.int64) + 1) << (48 - 16 * k)
+    h = 8 if text.max() < 255 else 4
+    first, symbols = np.zeros(n, U64), (text + 1).astype(U64)
+    for k in range(min(h, n)):
+        first[: n - k] |= symbols[k:] << U64(64 - 64 // h * (k + 1))
     order = np.argsort(first, kind="stable").astype(kind)
     first = first[order]
     head = group_starts(first).astype(kind)
     del first
     rank = np.empty(n, kind)
     rank[order] = np.repeat(head, np.diff(np.append(head, n)))
-    h = 4
     while h < (depth or n):
         at = rank[order]
         tied = np.zeros(n, bool)
