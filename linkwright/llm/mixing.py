@@ -39,7 +39,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
 BLOCK_ROWS = 20_000
 #: Documents of a source and size class that wait for the landing (their number varies by a hash; all of them where there are no more).
-RESERVE = 6
+RESERVE = 16
 #: Words of the landing documents that the exact choice ranges over; the larger ones beyond are rounded one after the other before it.
 LAND_WORDS = 1 << 20
 #: With up to so many sources their table is broadcast (under 10 MB), and joined by shuffling beyond; rows are the same.
