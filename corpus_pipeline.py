@@ -6,6 +6,8 @@ table, each stage's result being written to the shared checkpoint folder before
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +18,22 @@ from linkwright.llm.frames import durable, release
 SHARE = 80
 
 
+def apart(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], made: Iterable[str]) -> DataFrame:
+    """operator(docs), where columns of docs that are named as one that the operator makes are put by meanwhile."""
+    names = {c: f"_own_{c}" for c in made if c in docs.columns}
+    return operator(docs.withColumnsRenamed(names))
+
+
+def restored(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """out with the columns of docs alone, under their own names."""
+    return out.select(*[F.col(f"_own_{c}" if f"_own_{c}" in out.columns else c).alias(c) for c in docs.columns])
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.score_quality(docs, labels).where("predicted = 1").select(*docs.columns)
+    scored = apart(docs, lambda d: quality.score_quality(d, labels), ("held_out", "score", "predicted"))
+    return restored(docs, scored.where("predicted = 1"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +45,12 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that an earlier document has; documents of which nothing is left go."""
-    cut = suffix_dedup.suffix_dedup(docs).where("n_removed = 0 or n_removed < n_bytes")
+    cut = apart(docs, suffix_dedup.suffix_dedup, suffix_dedup.RESULT.names).where("n_removed = 0 or n_removed < n_bytes")
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
-    return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    cut = cut.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast("long"))
+    return restored(docs, cut)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
