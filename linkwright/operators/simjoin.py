@@ -48,18 +48,18 @@ def similarity_join(left: DataFrame, right: DataFrame, left_key: str, right_key:
         ordered = F.array_sort(F.collect_list(F.struct("df", "gram")))
         ranked = ranked.groupBy("id", *names, "_set").agg(F.array_distinct(F.transform(ordered, lambda x: x["gram"])).alias("g"))
         ranked = ranked.withColumn("n", F.size("g"))
-        ranked = ranked.withColumn("p", F.slice("g", F.lit(1), F.col("n") - up(t * F.col("n")) + 1))
-        return ranked.select("id", *names, "n", "g", "p", F.posexplode("p").alias("at", "gram"))
+        prefix = F.slice("g", F.lit(1), F.col("n") - up(t * F.col("n")) + 1)
+        return ranked.select("id", *names, "n", "g", F.posexplode(prefix).alias("at", "gram"))
 
     pa = prefixes(a).withColumnRenamed("id", "left_id")
     pb = pa if itself else prefixes(b)
-    pb = pb.select(F.col("left_id" if itself else "id").alias("right_id"), *names, F.col("n").alias("m"), F.col("g").alias("h"), F.col("p").alias("q"), F.col("at").alias("bt"), "gram")
+    pb = pb.select(F.col("left_id" if itself else "id").alias("right_id"), *names, F.col("n").alias("m"), F.col("g").alias("h"), F.col("at").alias("bt"), "gram")
     needed = up(t / (1 + t) * (F.col("n") + F.col("m")))
     left_over = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt"))
     pairs = pa.join(pb, [*names, "gram"]).where((F.least("n", "m") >= t * F.greatest("n", "m") - F.lit(1e-9)) & (left_over >= needed))
     if ascending:
         pairs = pairs.where("left_id < right_id")
-    # the first gram that both prefixes share; both are in the order of (frequency, gram)
-    pairs = pairs.where(F.array_intersect("p", "q")[0] == F.col("gram"))
+    # only at the first gram that both share: both are in the order of (frequency, gram)
+    pairs = pairs.where(~F.arrays_overlap(F.slice("g", F.lit(1), F.col("at")), F.slice("h", F.lit(1), F.col("bt"))))
     common = F.size(F.array_intersect("g", "h"))
     return pairs.withColumn("common", common).withColumn("sim", F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).where(F.col("sim") >= t).select("left_id", "right_id", "sim")

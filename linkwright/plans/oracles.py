@@ -51,9 +51,11 @@ WITH {_PAIRS}, universe AS (
 """
 
 _NAMES = """
-parts AS (
-  SELECT p_partkey AS part_id, p_type AS kind, lower(concat_ws(' ', p_name, p_brand, p_type, p_size)) AS name, lower(concat_ws(' ', p_name, p_type, p_size)) AS short,
-    substring(p_brand, 7, 10) AS mid, substring(p_brand, 7, 1) AS mi, CAST(p_partkey % 4 AS VARCHAR) AS block, p_partkey % 3 = 0 AS is_left FROM part
+words AS (
+  SELECT page_id, lower(url) AS name, split_part(lower(url), '/', 4) AS language FROM pages
+), names AS (
+  SELECT page_id, split_part(name, ':', 1) AS kind, name, regexp_replace(name, '[?#].*', '') AS short, CASE WHEN page_id % 5 < 2 THEN left(language, 1) ELSE language END AS mid, left(language, 1) AS mi,
+    CAST((page_id // 12) % 4 AS VARCHAR) AS block, (page_id // 6) % 3 = 0 AS is_left FROM words
 )"""
 
 
@@ -76,15 +78,15 @@ SELECT doc_id, {_jaccard("x", "y")} AS sim FROM s
 def _similar(left: str, right: str, name: str, on: str) -> str:
     """Pairs with Jaccard >= 0.7 by counting shared grams."""
     return f"""
-      SELECT l.part_id AS left_id, r.part_id AS right_id, count(*) / (any_value(l.n) + any_value(r.n) - count(*)) AS sim
+      SELECT l.page_id AS left_id, r.page_id AS right_id, count(*) / (any_value(l.n) + any_value(r.n) - count(*)) AS sim
       FROM (SELECT *, len(g) AS n, unnest(g) AS t FROM (SELECT *, {_grams(name, 3)} AS g FROM {left})) l
       JOIN (SELECT *, len(g) AS n, unnest(g) AS t FROM (SELECT *, {_grams(name, 3)} AS g FROM {right})) r ON l.t = r.t AND {on}
-      GROUP BY l.part_id, r.part_id HAVING count(*) / (any_value(l.n) + any_value(r.n) - count(*)) >= 0.7
+      GROUP BY l.page_id, r.page_id HAVING count(*) / (any_value(l.n) + any_value(r.n) - count(*)) >= 0.7
     """
 
 
 _SIDES = f"""
-WITH {_NAMES}, lefts AS (SELECT * FROM parts WHERE is_left), rights AS (SELECT * FROM parts WHERE NOT is_left)
+WITH {_NAMES}, lefts AS (SELECT * FROM names WHERE is_left), rights AS (SELECT * FROM names WHERE NOT is_left)
 """
 _MILES = f"2 * {EARTH_MILES!r} * asin(sqrt(least(1.0, pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(b.lon) - radians(a.lon)) / 2), 2))))"
 _POINTS = "points AS (SELECT n_nationkey, 25 + n_nationkey * 0.9::DOUBLE AS lat, -120 + n_nationkey * 2.1::DOUBLE AS lon FROM nation)"
@@ -154,27 +156,27 @@ SELECT u.npi, u.year, u.state FROM universe u LEFT JOIN (SELECT npi, year, count
 """,
     "ngram_jaccard_pairs": _neighbours(3),
     "ngram_jaccard_k2": _neighbours(2),
-    "simjoin_unblocked": f"WITH {_NAMES} SELECT left_id, right_id, round(sim, 9) AS sim FROM ({_similar('parts', 'parts', 'name', 'l.part_id < r.part_id')})",
-    "simjoin_blocked": f"WITH {_NAMES} SELECT left_id, right_id, round(sim, 9) AS sim FROM ({_similar('parts', 'parts', 'name', 'l.part_id < r.part_id AND l.kind = r.kind')})",
+    "simjoin_unblocked": f"WITH {_NAMES} SELECT left_id, right_id, round(sim, 9) AS sim FROM ({_similar('names', 'names', 'name', 'l.page_id < r.page_id')})",
+    "simjoin_blocked": f"WITH {_NAMES} SELECT left_id, right_id, round(sim, 9) AS sim FROM ({_similar('names', 'names', 'name', 'l.page_id < r.page_id AND l.kind = r.kind')})",
     "candidate_union_features": _SIDES
     + f""", whole AS ({_similar("lefts", "rights", "name", "l.kind = r.kind AND l.block = r.block")}),
 short AS ({_similar("lefts", "rights", "short", "l.kind = r.kind AND l.block = r.block AND l.mi = r.mi")}),
 ids AS (
   SELECT left_id, right_id FROM whole
   UNION
-  SELECT left_id, right_id FROM short JOIN lefts a ON a.part_id = left_id JOIN rights b ON b.part_id = right_id WHERE len(a.mid) <= 1 OR len(b.mid) <= 1
+  SELECT left_id, right_id FROM short JOIN lefts a ON a.page_id = left_id JOIN rights b ON b.page_id = right_id WHERE len(a.mid) <= 1 OR len(b.mid) <= 1
 ), s AS (
   SELECT left_id, right_id, {_grams("a.name", 3)} AS x, {_grams("b.name", 3)} AS y, {_grams("a.mid", 2)} AS u, {_grams("b.mid", 2)} AS v, a.mi = b.mi AS mid_initial_agree
-  FROM ids JOIN lefts a ON a.part_id = left_id JOIN rights b ON b.part_id = right_id
+  FROM ids JOIN lefts a ON a.page_id = left_id JOIN rights b ON b.page_id = right_id
 )
 SELECT left_id, right_id, {_jaccard("x", "y")} AS full_name_sim, {_jaccard("u", "v")} AS mid_name_agree, mid_initial_agree FROM s
 """,
     "cross_block_retry": _SIDES
     + f""", own AS ({_similar("lefts", "rights", "name", "l.kind = r.kind AND l.block = r.block")}),
 sure AS (SELECT left_id FROM own WHERE sim >= 0.85 GROUP BY left_id HAVING count(*) = 1),
-rest AS (SELECT * FROM lefts WHERE part_id NOT IN (SELECT left_id FROM sure) AND block IN (SELECT block FROM rights)),
+rest AS (SELECT * FROM lefts WHERE page_id NOT IN (SELECT left_id FROM sure) AND block IN (SELECT block FROM rights)),
 found AS ({_similar("rest", "rights", "name", "l.kind = r.kind AND (CAST(l.block AS INT) - CAST(r.block AS INT) + 4) % 4 IN (1, 3)")})
-SELECT left_id, b.block AS nb_block, right_id, round(sim, 9) AS sim FROM found JOIN rights b ON b.part_id = right_id
+SELECT left_id, b.block AS nb_block, right_id, round(sim, 9) AS sim FROM found JOIN rights b ON b.page_id = right_id
 """,
     "state_adjacency_closure": f"WITH p(a, b) AS (VALUES {ADJACENCY_VALUES}) SELECT a AS state, b AS neighbour FROM p UNION SELECT b, a FROM p",
     "haversine_nation_pairs": f"WITH {_POINTS} SELECT a.n_nationkey AS k1, b.n_nationkey AS k2, round({_MILES}, 6) AS miles FROM points a JOIN points b ON a.n_nationkey < b.n_nationkey",

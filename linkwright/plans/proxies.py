@@ -1,8 +1,8 @@
 """The linkage's tables acted out by the driver's star schema.
 
 Entities are customers, years those of their orders, voters suppliers; a pair's score is
-1 - discount - tax and its distance the quantity. Registry names are those of parts with their type,
-brand and size. Every proxy reads its whole tables and whole columns.
+1 - discount - tax and its distance the quantity. Registry names are the addresses of pages. Every
+proxy reads its whole tables and whole columns.
 """
 
 from __future__ import annotations
@@ -49,19 +49,19 @@ def gap_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as registry rows: a name, its block, the short name without the middle one, and what goes with it."""
-    parts = table(spark, sf_dir, "part")
-    low = lambda *c: F.lower(F.concat_ws(" ", *c))
-    middle = F.substring("p_brand", 7, 10)  # the brand's number
-    return parts.select(
-        F.col("p_partkey").alias("part_id"),
-        F.col("p_type").alias("kind"),
-        low("p_name", "p_brand", "p_type", "p_size").alias("name"),
-        low("p_name", "p_type", "p_size").alias("short"),
+    """Pages as registry rows: the address is the name; without its query and fragment it is the short one, its language the middle one."""
+    pages, url = table(spark, sf_dir, "pages"), F.lower("url")
+    language = F.split_part(url, F.lit("/"), F.lit(4))
+    middle = F.when(F.col("page_id") % 5 < 2, F.substring(language, 1, 1)).otherwise(language)
+    return pages.select(
+        "page_id",
+        F.split_part(url, F.lit(":"), F.lit(1)).alias("kind"),
+        url.alias("name"),
+        F.regexp_replace(url, "[?#].*", "").alias("short"),
         middle.alias("mid"),
-        F.substring(middle, 1, 1).alias("mi"),
-        (F.col("p_partkey") % 4).cast("string").alias("block"),
-        (F.col("p_partkey") % 3 == 0).alias("is_left"),
+        F.substring(language, 1, 1).alias("mi"),
+        (F.floor(F.col("page_id") / 12) % 4).cast("string").alias("block"),
+        (F.floor(F.col("page_id") / 6) % 3 == 0).alias("is_left"),
     )
 
 

@@ -118,8 +118,8 @@ def ngram_jaccard_k2(spark, sf_dir):
 
 
 def _simjoin(spark, sf_dir, blocks):
-    parts = names(spark, sf_dir)
-    found = similarity_join(parts, parts, "part_id", "part_id", "name", threshold=0.7, blocks=blocks, ascending=True)
+    rows = names(spark, sf_dir)
+    found = similarity_join(rows, rows, "page_id", "page_id", "name", threshold=0.7, blocks=blocks, ascending=True)
     return found.select("left_id", "right_id", F.round("sim", 9).alias("sim"))
 
 
@@ -132,14 +132,14 @@ def simjoin_blocked(spark, sf_dir):
 
 
 def _registries(spark, sf_dir):
-    parts = names(spark, sf_dir)
-    return parts.where("is_left").drop("is_left"), parts.where("not is_left").drop("is_left")
+    rows = names(spark, sf_dir)
+    return rows.where("is_left").drop("is_left"), rows.where("not is_left").drop("is_left")
 
 
 def candidate_union_features(spark, sf_dir):
     left, right = _registries(spark, sf_dir)
-    ids = candidates.candidate_ids(left, right, "part_id", "part_id", ("name", "name"), ("short", "short"), ("mid", "mid"), {"kind": "kind", "block": "block"}, clean=False)
-    side = lambda f, key, end: f.select(F.col("part_id").alias(key), F.col("name").alias(f"name_{end}"), F.col("mid").alias(f"mid_{end}"), F.col("mi").alias(f"mi_{end}"))
+    ids = candidates.candidate_ids(left, right, "page_id", "page_id", ("name", "name"), ("short", "short"), ("mid", "mid"), {"kind": "kind", "block": "block"}, clean=False)
+    side = lambda f, key, end: f.select(F.col("page_id").alias(key), F.col("name").alias(f"name_{end}"), F.col("mid").alias(f"mid_{end}"), F.col("mi").alias(f"mi_{end}"))
     pairs = ids.join(side(left, "left_id", "x"), "left_id").join(side(right, "right_id", "y"), "right_id")
     return pairs.select(
         "left_id",
@@ -156,11 +156,11 @@ def _ring(spark):
 
 def cross_block_retry(spark, sf_dir):
     left, right = _registries(spark, sf_dir)
-    own = similarity_join(left, right, "part_id", "part_id", "name", threshold=0.7, blocks=["kind", "block"]).withColumnRenamed("left_id", "part_id")
-    rest = candidates.unmatched(left, own, ("part_id",), "sim", 0.85)
+    own = similarity_join(left, right, "page_id", "page_id", "name", threshold=0.7, blocks=["kind", "block"]).withColumnRenamed("left_id", "page_id")
+    rest = candidates.unmatched(left, own, ("page_id",), "sim", 0.85)
     far = candidates.expand_to_neighbours(rest, _ring(spark), right, state="block", keys=("block",))
-    key = F.concat_ws("|", F.col("part_id").cast("string"), "nb_state")
-    found = similarity_join(far.withColumn("_key", key), right, "_key", "part_id", "name", threshold=0.7, blocks={"kind": "kind", "nb_state": "block"})
+    key = F.concat_ws("|", F.col("page_id").cast("string"), "nb_state")
+    found = similarity_join(far.withColumn("_key", key), right, "_key", "page_id", "name", threshold=0.7, blocks={"kind": "kind", "nb_state": "block"})
     return found.select(F.split("left_id", r"\|")[0].cast("long").alias("left_id"), F.split("left_id", r"\|")[1].alias("nb_block"), "right_id", F.round("sim", 9).alias("sim"))
 
 
