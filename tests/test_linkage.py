@@ -297,6 +297,13 @@ def test_fetch_over_http(tmp_path):
         server.shutdown()
 
 
+def test_ngrams_of_any_letters(spark):
+    for t in ("", "a", "ab", "aé😀b", "aaaa", "x" * 5000 + "y", None, " a b "):
+        for k in (1, 2, 3):
+            got = one(spark, text.ngrams(F.lit(t).cast("string"), k))
+            assert (got if t is None else sorted(got)) == (None if t is None else sorted({t[i : i + k] for i in range(len(t) - k + 1)}))
+
+
 def test_scope_catalogue_and_fetch(monkeypatch, tmp_path):
     assert config.scoped_years() == list(range(2018, 2026)) and len(config.scoped_states()) == 51
     monkeypatch.setenv(config.YEARS_VARIABLE, "2018, 2019")
@@ -326,15 +333,17 @@ def test_kappa_and_samples(spark):
 def test_queries_match_their_sql(spark):
     import duckdb
 
-    from linkwright.plans import oracles, queries
+    from linkwright.plans import oracles, queries, stages
 
     sf = "/root/testdata/sf0.001"
     db = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events documents labels".split():
+    every = queries.QUERIES | stages.QUERIES
+    assert set(every) - set(oracles.SQL) == {"rf_score_pairs"} and set(oracles.SQL) <= set(every)
+    for t in "region nation customer supplier part orders lineitem events documents pages labels".split():
         db.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     number = lambda v: float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
     for name, sql in oracles.SQL.items():
-        got = queries.QUERIES[name](spark, sf)
+        got = every[name](spark, sf)
         names = sorted(got.columns)
         have = sorted(str(tuple(number(r[c]) for c in names)) for r in got.collect())
         want = sorted(str(tuple(map(number, r))) for r in db.sql(f"select {', '.join(names)} from ({sql})").fetchall())
