@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +86,3 @@ def haversine_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
 def haversine_sql() -> str:
     """The same as a SQL function body over lat1, lon1, lat2, lon2."""
     return f"2 * {EARTH_MILES!r} * asin(sqrt(least(1.0D, pow(sin((radians(lat2) - radians(lat1)) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin((radians(lon2) - radians(lon1)) / 2), 2))))"
-
-
-assert len(STATES) == 51 and math.isclose(EARTH_MILES, 3958.756, rel_tol=1e-6)

@@ -37,6 +37,7 @@ def test_adjacency(spark):
 
 
 def test_haversine(spark):
+    assert len(geo.STATES) == 51 and geo.EARTH_MILES == pytest.approx(3958.756, rel=1e-6)
     miles = one(spark, geo.haversine_miles(*map(F.lit, (41.3053, -72.9276, 40.7506, -73.9971))))
     assert miles == pytest.approx(67.649, abs=1e-3)
     assert one(spark, geo.haversine_miles(F.lit(None).cast("double"), *map(F.lit, (1.0, 2.0, 3.0)))) is None
