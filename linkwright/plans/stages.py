@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,7 +24,7 @@ STATES = ("CT", "NY", "MA", "RI")
 def scratch(spark: SparkSession) -> str:
     """A new folder in the one that spark.checkpoint.dir names; only a local[...] master may go without."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local["):
+    if not shared and re.match(r"local(\[|$)", spark.sparkContext.master) is None:
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{shared or tempfile.mkdtemp(prefix='linkwright-')}/{uuid.uuid4().hex}"
 
