@@ -28,4 +28,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if mark == last:
             return known.select(F.col("a").alias("node"), F.col("b").alias("root"))
         last = mark
-        release(known.sparkSession)  # the driver keeps nothing of earlier rounds
+        release(known.sparkSession, wait=0, turns=1)  # the driver keeps nothing of earlier rounds but the last

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import zipfile
@@ -39,7 +40,7 @@ def prepared(spark: SparkSession) -> None:
     _ship(spark)
     if not spark.sparkContext.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not spark.sparkContext.master.startswith("local["):
+        if not shared and re.match(r"local(\[|$)", spark.sparkContext.master) is None:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="linkwright-"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -51,13 +52,13 @@ def durable(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def release(spark: SparkSession, wait: float = 0.2) -> None:
+def release(spark: SparkSession, wait: float = 0.2, turns: int = 2) -> None:
     """Lets Spark remove shuffle files (and checkpoints, where the session cleans them) that no frame refers to any more.
 
     What the last job used is found unused in the second turn only. wait: seconds a turn, given to the
     executors, which remove files in the background.
     """
-    for _ in range(2):
+    for _ in range(turns):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(wait)
