@@ -31,13 +31,14 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 from .arrays import U64, mix
-from .frames import durable, prepared
+from .frames import durable, prepared, release
 from .suffix_dedup import common_prefixes, suffix_array
 
 REPEAT, PAGES = 8, 3
@@ -325,12 +326,14 @@ def window_hashes(pages: list[list[tuple[str, str]]], least: int = REPEAT) -> li
     return out
 
 
-def _packed(blocks: list[tuple[str, str]]) -> str:
-    return "\n".join(kind + text for kind, text in blocks)
+def _packed(blocks: list[tuple[str, str]]) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress("\n".join(kind + text for kind, text in blocks).encode("utf-8", "surrogatepass"))
 
 
 def _unpacked(column) -> list[list[tuple[str, str]]]:
-    return [[(x[0], x[1:]) for x in page.split("\n")] if page else [] for page in column.to_pylist()]
+    read = zstandard.ZstdDecompressor().decompress
+    pages = (read(page).decode("utf-8", "surrogatepass") for page in column.to_pylist())
+    return [[(x[0], x[1:]) for x in page.split("\n")] if page else [] for page in pages]
 
 
 def _windows(table: pa.Table) -> pa.Table:
@@ -372,7 +375,7 @@ def _parse(html_col: str, schema: pa.Schema):
     def run(batches):
         for batch in batches:
             found = [_packed(page_blocks(page or "")) for page in batch.column(batch.schema.get_field_index(html_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()) if k == "_blocks" else batch.column(batch.schema.get_field_index(k)) for k in schema.names], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()) if k == "_blocks" else batch.column(batch.schema.get_field_index(k)) for k in schema.names], schema=schema)
 
     return run
 
@@ -388,20 +391,24 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     prepared(pages.sparkSession)
     made = ("text", "n_chars", "n_boilerplate")
     pages = pages.select(*[c for c in pages.columns if c not in (*made, "_host", "_part", "_blocks") or c in (url_col, html_col)])
-    sizes = pages.select(host_of(url_col).alias("_host")).groupBy("_host").agg(F.ceil(F.count("*") / host_pages).alias("_parts")).where("_parts > 1")
+    pages = pages.withColumn("_host", host_of(url_col))
+    sizes = pages.groupBy("_host").agg(F.ceil(F.count("*") / host_pages).alias("_parts")).where("_parts > 1")
     sizes = durable(sizes)  # as many rows as pages / host_pages at most: broadcast while that is few
     hosts = sizes.count()
-    kept = [f for f in pages.schema.fields if f.name != html_col]
-    schema = T.StructType([*kept, T.StructField("_host", T.StringType()), T.StructField("_blocks", T.StringType())])
-    parsed = pages.withColumn("_host", host_of(url_col)).mapInArrow(_parse(html_col, to_arrow_schema(schema)), schema)
+    kept = [f for f in pages.schema.fields if f.name not in (html_col, "_host")]
     result = T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_boilerplate", T.LongType())])
+    schema = T.StructType([*kept, T.StructField("_host", T.StringType()), T.StructField("_blocks", T.BinaryType())])
+    parsed = lambda f: f.mapInArrow(_parse(html_col, to_arrow_schema(schema)), schema)
+    few = hosts <= BROADCAST_HOSTS
+    spread = F.broadcast(sizes) if few else sizes
+    small = pages.join(spread, "_host", "left_anti") if hosts else pages
+    done = parsed(small).withColumn("_part", F.lit(0).cast("long")).groupBy("_host", "_part").applyInArrow(_settle, result)
     if not hosts:
-        return parsed.withColumn("_part", F.lit(0).cast("long")).groupBy("_host", "_part").applyInArrow(_settle, result)
-    large_hosts = F.broadcast(sizes) if hosts <= BROADCAST_HOSTS else sizes
-    parsed = durable(parsed.join(large_hosts, "_host", "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("_blocks"), "_parts"), F.lit(0).cast("long"))))
-    small, large = parsed.where("_parts is null").drop("_parts"), parsed.where("_parts is not null").drop("_parts")
-    done = small.groupBy("_host", "_part").applyInArrow(_settle, result)
+        return done
+    large = parsed(pages.join(spread, "_host", "left_semi")).join(spread, "_host")
+    large = durable(large.withColumn("_part", F.pmod(F.xxhash64("_blocks"), "_parts")).drop("_parts"))
     windows = durable(large.select("_host", "_part", "_blocks").groupBy("_host", "_part").applyInArrow(_windows, "_host string, _part long, window long, pages long"))
+    release(pages.sparkSession, 0.5)
     common = windows.groupBy("_host", "window").agg(F.sum("pages").alias("n")).where(F.col("n") >= PAGES)
     common = windows.join(common, ["_host", "window"], "left_semi").select("_host", "_part", "window")
     dealt = large.groupBy("_host", "_part").cogroup(common.groupBy("_host", "_part")).applyInArrow(_settle_part, result)
