@@ -26,7 +26,7 @@ def _lean_worker() -> None:
     except (AttributeError, OSError):  # another C library than glibc
         return
     mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD
-    mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD
+    mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
 
 
 if TaskContext.get() is not None:
@@ -48,7 +48,7 @@ BYTE_CODES = mix((np.arange(256, dtype=U64) + U64(1)) * _MUL)
 _BASE = 0x5851F42D4C957F2D
 _UNBASE = pow(_BASE, -1, 1 << 64)
 #: Powers of the base are kept up to this many; longer inputs take them as products of two tables.
-_POWERS = 1 << 15
+_POWERS = 1 << 18
 _powers: dict[int, np.ndarray] = {}
 
 

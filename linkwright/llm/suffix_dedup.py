@@ -58,10 +58,19 @@ _LAST = np.iinfo(np.int64).max
 # --- suffix arrays ---------------------------------------------------------------------------
 
 
-def suffix_array(text: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def packed_symbols(text: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first eight symbols of every suffix (four, if there are symbols over 254) as one number, and how many."""
+    n, h = len(text), 8 if text.max(initial=0) < 255 else 4
+    first, symbols = np.zeros(n, U64), (text + 1).astype(U64)
+    for k in range(min(h, n)):
+        first[: n - k] |= symbols[k:] << U64(64 - 64 // h * (k + 1))
+    return first, h
+
+
+def suffix_array(text: np.ndarray, depth: int | None = None, packed: tuple[np.ndarray, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and ranks of non-negative symbols below 2**15, by Larsson-Sadakane refinement.
 
-    Suffixes are ordered by their first eight symbols (four, if there are symbols over 254); then every group of suffixes that still tie
+    Suffixes are ordered by their first packed_symbols(); then every group of suffixes that still tie
     is ordered by the ranks that stand h places on, h doubling, and settled groups are left alone.
     With ``depth`` it stops when ties agree in that many symbols; equal ranks then mark such ties.
     """
@@ -69,11 +78,8 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> tuple[np.ndarray
     kind = np.int32 if n < 1 << 31 else np.int64
     if not n:
         return np.zeros(0, kind), np.zeros(0, kind)
-    h = 8 if text.max() < 255 else 4
-    first, symbols = np.zeros(n, U64), (text + 1).astype(U64)
-    for k in range(min(h, n)):
-        first[: n - k] |= symbols[k:] << U64(64 - 64 // h * (k + 1))
-    order = np.argsort(first, kind="stable").astype(kind)
+    first, h = packed or packed_symbols(text)
+    order = np.argsort(first).astype(kind)
     first = first[order]
     head = group_starts(first).astype(kind)
     del first
@@ -92,7 +98,7 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> tuple[np.ndarray
         beyond = members.astype(np.int64) + h
         after = np.where(beyond < n, rank[np.minimum(beyond, n - 1)].astype(np.int64) + 1, 0)
         del at, tied, same, beyond
-        by = np.lexsort((after, group)) if n >= 1 << 31 else np.argsort((group.astype(np.int64) << 32) | after, kind="stable")
+        by = np.lexsort((after, group)) if n >= 1 << 31 else np.argsort((group.astype(np.int64) << 32) | after)
         members, group, after = members[by], group[by], after[by]
         order[place] = members
         new = np.concatenate(([True], (group[1:] != group[:-1]) | (after[1:] != after[:-1])))
@@ -101,33 +107,43 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> tuple[np.ndarray
     return order, rank
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, width: int, limit: int) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, width: int, limit: int, span: int | None = None, packed: tuple[np.ndarray, int] | None = None) -> np.ndarray:
     """Length, up to ``limit``, of each suffix's common prefix with the one before it in ``order``.
 
     Kasai's rule - a suffix's common prefix is at least that of the suffix one place to the left,
-    less one - is followed from every ``width``-th place of the text at once.
+    less one - is followed from every ``width``-th place of the text at once. ``order`` may leave
+    suffixes out or tie those that agree in ``limit`` symbols: the rule is used where the suffix
+    that it rests on stands before. ``span``: only the first places of each ``width`` are in order.
     """
     n = len(text)
+    keys, per = packed or packed_symbols(text)
     flat = np.concatenate((text, np.full(limit + 1, -1, text.dtype)))
-    where = np.empty(n, order.dtype)
-    where[order] = np.arange(n, dtype=order.dtype)
-    out = np.zeros(n, np.int64 if limit >= 1 << 15 else np.int16)
+    keys = np.concatenate((keys, np.zeros(limit + 1, U64)))
+    where = np.full(n + 1, -1, order.dtype)
+    where[order] = np.arange(len(order), dtype=order.dtype)
+    out = np.zeros(len(order), np.int64 if limit >= 1 << 15 else np.int16)
     base = np.arange(0, n, width)
-    known = np.zeros(len(base), np.int64)
-    for offset in range(width):
+    known, before = np.zeros(len(base), np.int64), np.full(len(base), n - 1)
+    for offset in range(min(width, span or width)):
         mine = base[base + offset < n] + offset
-        known = np.maximum(known[: len(mine)] - 1, 0)
         at = where[mine]
+        rests = where[before[: len(mine)] + 1]
+        known = np.where((rests >= 0) & (rests < at), np.maximum(known[: len(mine)] - 1, 0), 0)
         live = np.flatnonzero(at > 0)
-        known[at == 0] = 0
-        other = np.zeros(len(mine), np.int64)
-        other[live] = order[at[live] - 1]
+        before = np.full(len(mine), n - 1)  # no suffix stands at n
+        before[live] = order[at[live] - 1]
+        going = live
+        while len(going):  # several symbols at once; a number with symbols beyond the text is no other's, unless it is of the same length
+            reach = known[going]
+            x, y = mine[going] + reach, before[going] + reach
+            going = going[(reach + per <= limit) & (np.maximum(x, y) + per <= n) & (keys[x] == keys[y])]
+            known[going] += per
         going = live
         while len(going):
             reach = known[going]
-            going = going[(reach < limit) & (flat[mine[going] + reach] == flat[other[going] + reach])]
+            going = going[(reach < limit) & (flat[mine[going] + reach] == flat[before[going] + reach])]
             known[going] += 1
-        out[at] = known
+        out[at[live]] = known[live]
     return out
 
 
@@ -135,11 +151,13 @@ def window_groups(contexts: np.ndarray, length: np.ndarray, width: int) -> tuple
     """Windows of the contexts in suffix order: context, start, and group (equal windows share one)."""
     size = contexts.shape[1]
     text = contexts.ravel()
-    order, _ = suffix_array(text)
-    group = np.cumsum(common_prefixes(text, order, size, width) < width, dtype=order.dtype)
+    packed = packed_symbols(text)
+    order, _ = suffix_array(text, width, packed)
     context, start = order // size, order % size
     whole = start + width <= length[context]
-    return context[whole].astype(np.int64), start[whole], group[whole]
+    order, context, start = order[whole], context[whole], start[whole]
+    group = np.cumsum(common_prefixes(text, order, size, width, size - width + 1, packed) < width, dtype=order.dtype)
+    return context.astype(np.int64), start, group
 
 
 # --- anchors ---------------------------------------------------------------------------------
@@ -271,7 +289,7 @@ def _judge(table: pa.Table, hot_contexts: int) -> pa.Table:
     context = np.concatenate([(p[1].astype(U64) << U64(16)) | p[2] for p in pieces])
     doc = np.concatenate([p[3] for p in pieces])
     code = np.zeros(len(key), np.uint8)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     head = group_starts(key[order])
     count = np.diff(np.append(head, len(key)))
     shared = np.repeat(count > 1, count)
