@@ -157,7 +157,7 @@ def _exploded(table: pa.Table) -> list[list[np.ndarray]]:
 def count_table(pieces: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted n-gram hashes of a bucket with the sums of their counts (64 bits)."""
     names = np.concatenate([names for names, _ in pieces])
-    order = np.argsort(names, kind="stable")
+    order = np.argsort(names)
     names = names[order]
     head = group_starts(names)
     return names[head], np.add.reduceat(np.concatenate([count for _, count in pieces])[order], head)
