@@ -18,8 +18,8 @@
 Items are broadcast up to ``chunk_bytes`` of text at a time; a pass over the documents searches one
 such chunk, and only a larger benchmark needs more passes. Scores do not depend on the chunks.
 
-Cases: NULL or empty texts match nothing, items without words are never found; items under five
-words count as one shingle; a NULL id is carried; repeated rows of documents give repeated pairs,
+Cases: NULL or empty texts match nothing, items without words are never found; an item, question or
+answer under five words counts as one shingle of its length, an answer of no words as found; a NULL id is carried; repeated rows of documents give repeated pairs,
 repeated items are searched once; of several passages the best overlap is reported, the first on
 ties; no items, no pairs; other columns are not carried, drop_leaks() keeps all.
 """
@@ -90,9 +90,9 @@ class Index:
         self.slack = float(self.most[lightest].sum())
         light = ~self.essential[term[head]]
         self.block_slack = np.bincount(self.block[light], self.block_max[light], minlength=self.n_blocks)
-        self.sets = [shingles(c) for c in coded]
+        # of each item, its first half (the question) and the rest (the answer): the length of its shingles, and these
         half = [-(-len(c) // 2) for c in coded]
-        self.parts = [(shingles(c[:h]), shingles(c[h:])) for c, h in zip(coded, half, strict=True)]
+        self.sets = [[(min(SHINGLE, len(x)), shingles(x)) for x in (c, c[:h], c[h:])] for c, h in zip(coded, half, strict=True)]
         self.mask = U64((1 << max(20, (8 * size).bit_length())) - 1)
         self.seen = np.zeros(int(self.mask) + 1, bool)
         self.seen[(self.vocabulary & self.mask).astype(np.int64)] = True
@@ -143,13 +143,17 @@ class Index:
         """(row, item, score, overlap, question overlap, answer overlap) of verified pairs."""
         best: dict[tuple[int, int], tuple] = {}
         stretch = rows[:-1] // self.length + np.arange(len(rows) - 1)
-        last, passage = -1, shingles(codes[:0])
+        last, held = -1, {}
         for p, k, score in self.retrieve(codes, rows, stretch):
             if p != last:
                 r = int(np.searchsorted(stretch, p, side="right")) - 1
                 start = int(rows[r] + (p - stretch[r]) * self.length)
-                last, passage = p, shingles(codes[start : min(start + 2 * self.length, int(rows[r + 1]))])
-            share = [float(np.isin(s, passage).mean()) if len(s) else 1.0 for s in (self.sets[k], *self.parts[k])]
+                last, passage, held = p, codes[start : min(start + 2 * self.length, int(rows[r + 1]))], {}
+            share = []
+            for n, own in self.sets[k]:
+                if n not in held:
+                    held[n] = ngrams(passage, n) if n else passage
+                share.append(float(np.isin(own, held[n]).mean()) if n else 1.0)
             if share[0] >= OVERLAP and min(share[1:]) >= PART_OVERLAP and share[0] > best.get((r, k), (0, 0))[1]:
                 best[r, k] = (score, *share)
         return [(r, self.ids[k], *v) for (r, k), v in sorted(best.items())]
