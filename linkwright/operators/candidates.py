@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_miles, symmetric_neighbours
 from ..functions.text import clean_name, initial, jaccard_ngram, joined_name, mentions
+from .durable import durable
 from .simjoin import similarity_join
 
 OCCUPATION = "CommercialData_Occupation"
@@ -70,20 +71,24 @@ def candidate_ids(providers: DataFrame, voters: DataFrame, left_key: str, right_
 
 
 def pair_features(pairs: DataFrame, centroids: DataFrame | None = None) -> DataFrame:
-    """Features of attribute-joined pairs (clashing names carry .x for the provider, .y for the voter)."""
+    """Features of attribute-joined pairs (clashing names carry .x for the provider, .y for the voter).
+
+    What name_features() has found is taken from its columns.
+    """
     x, y = (lambda c: F.col(f"`{c}.x`")), (lambda c: F.col(f"`{c}.y`"))
     known = {c: F.coalesce(F.col(c), F.lit("")) for c in ("mid_nm", "Voters_MiddleName")}
+    found = lambda c, made: F.col(f"_{c}") if f"_{c}" in pairs.columns else made
     out = pairs.withColumns(known).withColumns(
         {
-            "full_name_sim": jaccard_ngram(x("full_name"), y("full_name"), 3),
+            "full_name_sim": found("full_name_sim", jaccard_ngram(x("full_name"), y("full_name"), 3)),
             "state_agree": x("st") == y("st"),
             "mid_initial_agree": F.lower(F.substring("mid_nm", 1, 1)) == F.lower(F.substring("Voters_MiddleName", 1, 1)),
-            "mid_name_agree": jaccard_ngram(F.lower("mid_nm"), F.lower("Voters_MiddleName"), 2),
+            "mid_name_agree": found("mid_name_agree", jaccard_ngram(F.lower("mid_nm"), F.lower("Voters_MiddleName"), 2)),
             "phys_mid_name_len": F.char_length("mid_nm"),
             "voters_mid_name_len": F.char_length("Voters_MiddleName"),
             "year_dist": F.col("grd_yr") - F.year(F.to_date("Voters_BirthDate")),
         }
-    )
+    ).drop("_full_name_sim", "_mid_name_agree")
     return zip_distance(out, centroids, "zip", "Residence_Addresses_Zip") if centroids is not None else out
 
 
@@ -106,14 +111,31 @@ def attach(ids: DataFrame, providers: DataFrame, voters: DataFrame, left_key: st
     return ids.join(side(providers, left_key, "x", "left_id"), "left_id").join(side(voters, right_key, "y", "right_id"), "right_id").drop("left_id", "right_id")
 
 
-def match_pairs(providers: DataFrame, voters: DataFrame, centroids: DataFrame, blocks: tuple[str, ...] = ("year", "state"), k: int = 3, threshold: float = 0.7) -> DataFrame:
-    """Stage A: candidate pairs within blocks, with features. Row keys keep years and states apart."""
-    key = lambda f, c: f.withColumn("_key", F.concat_ws("|", F.col(c).cast("string"), *[F.col(b).cast("string") for b in blocks]))
-    a, b = key(providers, "npi"), key(voters, "LALVOTERID")
-    ids = candidate_ids(a, b, "_key", "_key", blocks={c: c for c in blocks}, k=k, threshold=threshold)
+def name_features(ids: DataFrame, left: DataFrame, right: DataFrame, middles: tuple[str, str] = ("mid_nm", "Voters_MiddleName")) -> DataFrame:
+    """(left_id, right_id) of names with the features that depend on the names alone."""
+    side = lambda f, middle, s: f.select(F.col("_key").alias(f"{s}_id"), F.col("full_name").alias(f"{s}_name"), F.lower(F.coalesce(F.col(middle), F.lit(""))).alias(f"{s}_mid"))
+    rows = ids.join(side(left, middles[0], "left"), "left_id").join(side(right, middles[1], "right"), "right_id")
+    return rows.select("left_id", "right_id", jaccard_ngram(F.col("left_name"), F.col("right_name"), 3).alias("_full_name_sim"), jaccard_ngram(F.col("left_mid"), F.col("right_mid"), 2).alias("_mid_name_agree"))
+
+
+def _named_pairs(providers: DataFrame, voters: DataFrame, centroids: DataFrame, blocks: dict[str, str], k: int, threshold: float) -> DataFrame:
+    """Candidate pairs with features. Rows of a block that agree in all names are compared as one, and each name's rows follow at last."""
+    parts = ("full_name", "mi")
+    left = ("full_name_no_mid", "mid_nm", *parts, *blocks)
+    right = ("full_name_no_mid_l2", "Voters_MiddleName", *parts, *blocks.values())
+    # a missing value is left out of the text, so that it differs from an empty one
+    key = lambda f, columns: f.withColumn("_key", F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])))
+    a, b = key(providers, left), key(voters, right)
+    names = [durable(f.select("_key", *columns).distinct()) for f, columns in ((a, left), (b, right))]
+    ids = name_features(candidate_ids(*names, "_key", "_key", blocks=blocks, k=k, threshold=threshold), *names)
     return pair_features(attach(ids, a, b, "_key", "_key").drop("_key.x", "_key.y"), centroids)
 
 
+def match_pairs(providers: DataFrame, voters: DataFrame, centroids: DataFrame, blocks: tuple[str, ...] = ("year", "state"), k: int = 3, threshold: float = 0.7) -> DataFrame:
+    """Stage A: candidate pairs within blocks, with features."""
+    return _named_pairs(providers, voters, centroids, {c: c for c in blocks}, k, threshold)
+
+
 def unmatched(providers: DataFrame, pairs: DataFrame, keys: tuple[str, ...] = ("npi", "year", "state"), sim: str = "full_name_sim", min_name_sim: float = 0.85) -> DataFrame:
     """Providers that have not exactly one strong candidate in their own block."""
     strong = pairs.where(F.col(sim) >= min_name_sim).groupBy(*keys).agg(F.count("*").alias("n")).where("n = 1").select(*keys)
@@ -133,7 +155,4 @@ def cross_border(providers: DataFrame, voters: DataFrame, stage_a: DataFrame, ad
     """Stage B: leftovers of Stage A against the neighbouring states' voters of the same year."""
     own = stage_a.select("npi", F.col("`year.x`").alias("year"), F.col("`state.x`").alias("state"), "full_name_sim")
     rest = expand_to_neighbours(unmatched(providers, own, min_name_sim=min_name_sim), adjacency, available)
-    a = rest.withColumn("_key", F.concat_ws("|", F.col("npi").cast("string"), F.col("year").cast("string"), F.col("nb_state")))
-    b = voters.withColumn("_key", F.concat_ws("|", "LALVOTERID", F.col("year").cast("string"), "state"))
-    ids = candidate_ids(a, b, "_key", "_key", blocks={"year": "year", "nb_state": "state"}, k=k, threshold=threshold)
-    return pair_features(attach(ids, a, b, "_key", "_key").drop("_key.x", "_key.y", "nb_state"), centroids)
+    return _named_pairs(durable(rest), voters, centroids, {"year": "year", "nb_state": "state"}, k, threshold).drop("nb_state")
