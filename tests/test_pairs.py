@@ -35,3 +35,15 @@ def test_equal_names_of_a_block_are_compared_once(spark, monkeypatch):
     want = {(x.npi, y.LALVOTERID): alike(x.full_name, y.full_name) for x in a for y in b if x.state == y.state and max(alike(x.full_name, y.full_name), alike(x.full_name_no_mid, y.full_name_no_mid_l2)) >= 0.7}
     got = pairs.collect()
     assert len(got) == len(want) and {(r.npi, r.LALVOTERID): r.full_name_sim for r in got} == pytest.approx(want)
+
+
+def test_stage_b_holds_stage_a_no_more(spark):
+    left, right, centroids = people(spark)
+    marked = candidates.match_pairs(left, right, centroids).where("full_name_sim > -0.123454321")
+    adjacency = spark.createDataFrame([("CT", "NY")], "state_a string, state_b string")
+    pairs = candidates.cross_border(left, right, marked, adjacency, centroids, right.select("year", "state").distinct())
+    assert "0.123454321" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    a, b, found = left.collect(), right.collect(), {(r.npi, r.LALVOTERID) for r in pairs.collect()}
+    strong = {x.npi for x in a if sum(x.full_name == y.full_name and x.state == y.state for y in b) == 1}
+    assert not strong and {(x.npi, y.LALVOTERID) for x in a for y in b if x.state != y.state and x.full_name == y.full_name} <= found
+    assert not {(x.npi, y.LALVOTERID) for x in a for y in b if x.state == y.state} & found
