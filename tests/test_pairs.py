@@ -47,3 +47,18 @@ def test_stage_b_holds_stage_a_no_more(spark):
     strong = {x.npi for x in a if sum(x.full_name == y.full_name and x.state == y.state for y in b) == 1}
     assert not strong and {(x.npi, y.LALVOTERID) for x in a for y in b if x.state != y.state and x.full_name == y.full_name} <= found
     assert not {(x.npi, y.LALVOTERID) for x in a for y in b if x.state == y.state} & found
+
+
+def test_similarity_join_of_copies_in_chunks_and_parts(spark):
+    rng = random.Random(7)
+    base = ["".join(rng.choice("abç😀") for _ in range(rng.randint(2, 9))) for _ in range(14)]
+    data = [(i, rng.choice(base)) for i in range(90)]
+    frame = spark.createDataFrame(data, "id long, name string").repartition(1)
+    other = frame.withColumn("key", F.concat(F.lit("k"), F.col("id")))
+    grams = {i: {n[j : j + 4] for j in range(len(n) - 3)} for i, n in data}
+    want = {(i, j): len(grams[i] & grams[j]) / len(grams[i] | grams[j]) for i in grams for j in grams if grams[i] & grams[j]}
+    want = {p: s for p, s in want.items() if s >= 0.5}
+    got = similarity_join(frame, frame, "id", "id", "name", k=4, threshold=0.5, ascending=True, chunk=2, part=3).collect()
+    assert len(got) == len({(r.left_id, r.right_id) for r in got}) and {(r.left_id, r.right_id): r.sim for r in got} == {(i, j): s for (i, j), s in want.items() if i < j}
+    got = similarity_join(frame, other, "id", "key", "name", k=4, threshold=0.5, chunk=2, part=3).collect()
+    assert len(got) == len(want) and {(r.left_id, int(r.right_id[1:])): r.sim for r in got} == want
