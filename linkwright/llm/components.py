@@ -2,20 +2,51 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import durable, release
 
+#: Up to so many edges (some MB) are joined in one task; rounds of joins take longer than that however few they are.
+FEW = 200_000
 
-def connected_components(edges: DataFrame) -> DataFrame:
+
+def _joined(batches):
+    """(node, root) of all edges, by union-find."""
+    batches = list(batches)
+    if not batches:
+        return
+    ends = [np.concatenate([np.asarray(b.column(c)) for b in batches]) for c in (0, 1)]
+    names, local = np.unique(np.concatenate(ends), return_inverse=True)
+    up, n = list(range(len(names))), len(ends[0])
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in zip(local[:n].tolist(), local[n:].tolist(), strict=True):
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    root = np.array([find(x) for x in range(len(up))], np.int64)
+    other = root != np.arange(len(root))
+    yield pa.RecordBatch.from_arrays([pa.array(names[other]), pa.array(names[root[other]])], names=["node", "root"])
+
+
+def connected_components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """(a, b) pairs of longs -> (node, root): the least node that each node is joined with.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014). Every step keeps the number
     of edges or lowers it, and needs a group's minimum only, so that no node's neighbours meet in
     one row. Ends when a round changes nothing; the rounds grow with the logarithm of the nodes.
+    few: up to so many edges meet in one task instead, with the same result.
     """
     known, last = durable(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
+    if known.count() <= few:
+        return durable(known.repartition(1).mapInArrow(_joined, "node long, root long"))
     while True:
         both = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
