@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import adjacency_pairs, haversine_miles, state_adjacency, symmetric_neighbours
 from ..functions.text import count_distinct_values, jaccard_ngram, mentions
 from ..operators import candidates, checks, gaps, panel, provider, sampling, scoring
+from ..operators.durable import durable
 from ..operators.simjoin import similarity_join
 from ..sources.readers import newest_per_key
 from ..sources.snapshots import latest_snapshots, path_date, path_key
@@ -157,7 +158,7 @@ def _ring(spark):
 def cross_block_retry(spark, sf_dir):
     left, right = _registries(spark, sf_dir)
     own = similarity_join(left, right, "page_id", "page_id", "name", threshold=0.7, blocks=["kind", "block"]).withColumnRenamed("left_id", "page_id")
-    rest = candidates.unmatched(left, own, ("page_id",), "sim", 0.85)
+    rest = durable(candidates.unmatched(left, own, ("page_id",), "sim", 0.85))  # the second join reads it more than once
     far = candidates.expand_to_neighbours(rest, _ring(spark), right, state="block", keys=("block",))
     key = F.concat_ws("|", F.col("page_id").cast("string"), "nb_state")
     found = similarity_join(far.withColumn("_key", key), right, "_key", "page_id", "name", threshold=0.7, blocks={"kind": "kind", "nb_state": "block"})

@@ -62,3 +62,15 @@ def test_similarity_join_of_copies_in_chunks_and_parts(spark):
     assert len(got) == len({(r.left_id, r.right_id) for r in got}) and {(r.left_id, r.right_id): r.sim for r in got} == {(i, j): s for (i, j), s in want.items() if i < j}
     got = similarity_join(frame, other, "id", "key", "name", k=4, threshold=0.5, chunk=2, part=3).collect()
     assert len(got) == len(want) and {(r.left_id, int(r.right_id[1:])): r.sim for r in got} == want
+
+
+def test_retry_holds_its_first_join_no_more(spark):
+    from linkwright.plans import queries
+
+    calls = []
+    kept, queries.durable = queries.durable, lambda frame: calls.append(1) or kept(frame)
+    try:
+        queries.cross_block_retry(spark, "/root/testdata/sf0.001")
+    finally:
+        queries.durable = kept
+    assert calls == [1]
