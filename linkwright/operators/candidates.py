@@ -112,23 +112,27 @@ def attach(ids: DataFrame, providers: DataFrame, voters: DataFrame, left_key: st
 
 
 def name_features(ids: DataFrame, left: DataFrame, right: DataFrame, middles: tuple[str, str] = ("mid_nm", "Voters_MiddleName")) -> DataFrame:
-    """(left_id, right_id) of names with the features that depend on the names alone."""
-    side = lambda f, middle, s: f.select(F.col("_key").alias(f"{s}_id"), F.col("full_name").alias(f"{s}_name"), F.lower(F.coalesce(F.col(middle), F.lit(""))).alias(f"{s}_mid"))
+    """ids with the names' keys in place of their numbers, and the features that depend on the names alone."""
+    side = lambda f, middle, s: f.select(F.col("_number").alias(f"{s}_id"), F.col("_key").alias(f"{s}_key"), F.col("full_name").alias(f"{s}_name"), F.lower(F.coalesce(F.col(middle), F.lit(""))).alias(f"{s}_mid"))
     rows = ids.join(side(left, middles[0], "left"), "left_id").join(side(right, middles[1], "right"), "right_id")
-    return rows.select("left_id", "right_id", jaccard_ngram(F.col("left_name"), F.col("right_name"), 3).alias("_full_name_sim"), jaccard_ngram(F.col("left_mid"), F.col("right_mid"), 2).alias("_mid_name_agree"))
+    return rows.select(F.col("left_key").alias("left_id"), F.col("right_key").alias("right_id"), jaccard_ngram(F.col("left_name"), F.col("right_name"), 3).alias("_full_name_sim"), jaccard_ngram(F.col("left_mid"), F.col("right_mid"), 2).alias("_mid_name_agree"))
 
 
 def _named_pairs(providers: DataFrame, voters: DataFrame, centroids: DataFrame, blocks: dict[str, str], k: int, threshold: float) -> DataFrame:
-    """Candidate pairs with features. Rows of a block that agree in all names are compared as one, and each name's rows follow at last."""
+    """Candidate pairs with features. Rows of a block that agree in all names are compared as one, and each name's rows follow at last.
+
+    Names have numbers meanwhile. Their pairs are kept, so that no plan holds both joins and what follows them:
+    the driver plans anew after each stage, and what it needs for that grows with the square of a plan.
+    """
     parts = ("full_name", "mi")
     left = ("full_name_no_mid", "mid_nm", *parts, *blocks)
     right = ("full_name_no_mid_l2", "Voters_MiddleName", *parts, *blocks.values())
     # a missing value is left out of the text, so that it differs from an empty one
     key = lambda f, columns: f.withColumn("_key", F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])))
     a, b = key(providers, left), key(voters, right)
-    names = [durable(f.select("_key", *columns).distinct()) for f, columns in ((a, left), (b, right))]
-    ids = name_features(candidate_ids(*names, "_key", "_key", blocks=blocks, k=k, threshold=threshold), *names)
-    return pair_features(attach(ids, a, b, "_key", "_key").drop("_key.x", "_key.y"), centroids)
+    names = [durable(f.select("_key", *columns).distinct().withColumn("_number", F.monotonically_increasing_id())) for f, columns in ((a, left), (b, right))]
+    ids = durable(candidate_ids(*names, "_number", "_number", blocks=blocks, k=k, threshold=threshold))
+    return pair_features(attach(name_features(ids, *names), a, b, "_key", "_key").drop("_key.x", "_key.y"), centroids)
 
 
 def match_pairs(providers: DataFrame, voters: DataFrame, centroids: DataFrame, blocks: tuple[str, ...] = ("year", "state"), k: int = 3, threshold: float = 0.7) -> DataFrame:

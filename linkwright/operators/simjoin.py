@@ -7,8 +7,8 @@ in the result. Each row goes to every gram of its prefix; what meets there in mo
 of a side is dealt out in pairs of parts. Where rows meet they are compared in NumPy: first by
 short signatures, whose distance never exceeds that of the sets, then by the sets as bits over the
 grams that the rows at hand share. A pair counts only at the least gram that both prefixes share,
-so no pair is made twice, and nothing is joined back. The sets are computed when the join is
-planned and kept in the checkpoint folder, as every later step reads them.
+so no pair is made twice, and nothing is joined back. The sets and their prefixes are computed when
+the join is planned and kept in the checkpoint folder, as every later step reads them.
 """
 
 from __future__ import annotations
@@ -222,8 +222,8 @@ def similarity_join(left: DataFrame, right: DataFrame, left_key: str, right_key:
     # with room for the product's rounding
     first = F.slice("g", F.lit(1), n - F.ceil(F.lit(threshold) * n - F.lit(1e-9)).cast("int") + 1)
     ranked = grams.join(frequency, [*names, "gram"]).groupBy(*names, "s").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "gram"))), lambda x: x["gram"]).alias("g"))
-    prefixes = ranked.select(*names, "s", first.alias("g")).select(*names, "s", F.array_join("g", "").alias("prefix"), "g")
-    posted = every.join(prefixes, [*names, "s"]).select(*names, "s", "lids", "rids", "left", "prefix", F.explode("g").alias("gram"))
+    prefixes = durable(ranked.select(*names, "s", first.alias("g")))
+    posted = every.join(prefixes, [*names, "s"]).select(*names, "s", "lids", "rids", "left", F.array_join("g", "").alias("prefix"), F.explode("g").alias("gram"))
     met = posted.groupBy(*names, "gram").agg(F.count_if("left").alias("nl"), F.count_if(~F.col("left")).alias("nr"), F.max(F.size("lids")).alias("most"))
     parts = lambda c: F.ceil(F.col(c) / part).cast("int")
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)

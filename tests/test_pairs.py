@@ -74,3 +74,11 @@ def test_retry_holds_its_first_join_no_more(spark):
     finally:
         queries.durable = kept
     assert calls == [1]
+
+
+def test_pairs_hold_the_joins_of_their_names_no_more(spark):
+    left, right, centroids = people(spark)
+    plan = lambda f: f._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan(candidates.match_pairs(left, right, centroids))
+    met = plan(similarity_join(left, right, "npi", "LALVOTERID", "full_name", "full_name", blocks=["state"]))
+    assert met.count("Generate explode") <= 3 and "count(1) AS df" not in met
