@@ -5,9 +5,10 @@ grams are ordered rarest first. Rows with equal sets and blocks are one row with
 keys (of CHUNK keys or so; more make further rows), so copies are compared once and only listed
 in the result. Each row goes to every gram of its prefix; what meets there in more than PART rows
 of a side is dealt out in pairs of parts. Where rows meet they are compared in NumPy: first by
-short signatures, whose distance never exceeds that of the sets, then by the sets as bits over the
-grams that the rows at hand share. A pair counts only at the least gram that both prefixes share,
-so no pair is made twice, and nothing is joined back. The sets and their prefixes are computed when
+their places in the prefixes (what shares nothing before a gram shares at most what follows it),
+then by short signatures, whose distance never exceeds that of the sets, then by the sets as bits
+over the grams that the rows at hand share. A pair counts only at the first gram that both prefixes
+share, so no pair is made twice, and nothing is joined back. The sets and their prefixes are computed when
 the join is planned and kept in the checkpoint folder, as every later step reads them.
 """
 
@@ -21,7 +22,7 @@ from ..functions.text import ngrams
 from .durable import durable
 
 #: Keys that a row lists, and rows of a side that meet in a block, on average.
-CHUNK, PART = 64, 2_000
+CHUNK, PART = 64, 8_000
 
 
 def _sets(side: DataFrame, key: str, text: str, blocks: list[str], k: int, chunk: int) -> DataFrame:
@@ -115,18 +116,23 @@ def _compared(keys: list[str], k: int, t: float, itself: bool, ascending: bool):
             row = np.repeat(np.arange(rows), n)
             names, rank, count = np.unique(own, return_inverse=True, return_counts=True)
             shared = count > 1  # other grams are in no two sets
-            place = np.cumsum(shared) - 1
+            place = np.empty(len(names), np.int64)
+            place[np.argsort(-np.where(shared, count, 0), kind="stable")] = np.arange(len(names))  # the commonest grams stand in the first word
             words = max(1, -(-int(shared.sum()) // 64))
             kept = shared[rank]
             bits = as_bits(row[kept], place[rank[kept]], rows, words)
-            less = prefix < np.repeat(here, p)  # grams of the prefix before the one that the row stands at
             rank_p, row_p = np.searchsorted(names, prefix), np.repeat(np.arange(rows), p)
-            kept = less & shared[rank_p]
+            local = np.arange(len(prefix)) - np.repeat(np.cumsum(p) - p, p)
+            at = local[prefix == np.repeat(here, p)]  # where in its prefix a row stands
+            kept = (local < np.repeat(at, p)) & shared[rank_p]
             earlier = as_bits(row_p[kept], place[rank_p[kept]], rows, words)
             wide = min(16, max(2, -(-3 * int(n.sum()) // (64 * rows))))
             short = as_bits(row, ((own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % (64 * wide), rows, wide)
             share = (1 - t) / (1 + t)
-            most = lambda a, b: np.floor((a + b) * share + 1e-6)  # noqa: E731, B023  the greatest distance of a pair
+            sums = np.arange(2 * int(n.max()) + 1)
+            most = np.floor(sums * share + 1e-6).astype(np.int64)  # the greatest distance of a pair, by the sum of its sizes
+            need = (-(-(sums - most) // 2)).astype(np.int32)  # the grams that it shares at least
+            size, reach = n.astype(np.int32), (n - at).astype(np.int32)  # reach: grams left where none was shared before
 
             left = keyed(table["lids"])
             right = left if itself else keyed(table["rids"])
@@ -134,6 +140,8 @@ def _compared(keys: list[str], k: int, t: float, itself: bool, ascending: bool):
             diagonal = table["diagonal"].combine_chunks().to_numpy(zero_copy_only=False)
 
             def exact(a, b):
+                fits = (earlier[a, 0] & earlier[b, 0]) == 0  # noqa: B023  most of those that have met before
+                a, b = a[fits], b[fits]
                 for i in range(0, len(a), step := max(1, 2_000_000 // words)):  # noqa: B023
                     x, y = a[i : i + step], b[i : i + step]
                     fits = ~(earlier[x] & earlier[y]).any(axis=1)  # noqa: B023
@@ -143,6 +151,47 @@ def _compared(keys: list[str], k: int, t: float, itself: bool, ascending: bool):
                     fits = sim >= t
                     yield from listed(x[fits], y[fits], sim[fits], left, right, False)  # noqa: B023
 
+            def close(x, y):
+                """Those that can share enough, by place and then by signature."""
+                fits = np.minimum(reach[x], reach[y]) >= need[size[x] + size[y]]  # noqa: B023
+                x, y = x[fits], y[fits]
+                fits = np.bitwise_count(short[x] ^ short[y]).sum(axis=1, dtype=np.int64) <= most[size[x] + size[y]]  # noqa: B023
+                return x[fits], y[fits]
+
+            def by_size(rows):
+                """Size and (rows, -reach) of each size, what reaches farthest first."""
+                rows = rows[np.lexsort((-reach[rows], size[rows]))]  # noqa: B023
+                found, begin = np.unique(size[rows], return_index=True)  # noqa: B023
+                return [(v, x, -reach[x]) for v, x in zip(found.tolist(), np.split(rows, begin[1:]), strict=True)]  # noqa: B023
+
+            def dense(a, b, square):
+                """Pairs of many rows. square: of a with itself."""
+                u = by_size(a)
+                v = u if square else by_size(b)
+                if len(u) * len(v) * 8_000 > len(a) * len(b):  # too many sizes to go through one by one
+                    for i in range(0, len(a), step := max(1, 400_000 // len(b))):
+                        x = a[i : i + step]
+                        y = b[i:] if square else b
+                        x, y = np.nonzero(np.minimum(reach[x][:, None], reach[y][None, :]) >= need[size[x][:, None] + size[y][None, :]])  # noqa: B023
+                        x, y = a[x + i], b[y + i * square]
+                        yield close(x[x < y], y[x < y]) if square else close(x, y)
+                    return
+                for size_a, rows_a, far_a in u:
+                    for size_b, rows_b, far_b in v:
+                        least = int(need[size_a + size_b])  # noqa: B023
+                        if least > min(size_a, size_b) or square and size_b < size_a:
+                            continue
+                        x, y = (rows[: np.searchsorted(far, -least, side="right")] for rows, far in ((rows_a, far_a), (rows_b, far_b)))  # noqa: B023
+                        limit = min(int(most[size_a + size_b]), 255 if wide <= 3 else 65_535)  # noqa: B023
+                        for i in range(0, len(x) * bool(len(y)), step := max(1, 400_000 // max(1, len(y)))):
+                            far = np.zeros((len(x[i : i + step]), len(y)), np.uint8 if wide <= 3 else np.uint16)  # noqa: B023
+                            for w in range(wide):  # noqa: B023
+                                far += np.bitwise_count(short[x[i : i + step], w][:, None] ^ short[y, w][None, :])  # noqa: B023
+                            c, d = np.nonzero(far <= limit)
+                            if square and size_a == size_b:
+                                c, d = c[c + i < d], d[c + i < d]
+                            yield x[c + i], y[d]
+
             ends = np.append(starts[1:], rows)
             lefts = np.add.reduceat(is_left.astype(np.int64), starts)
             whole = diagonal[starts]
@@ -150,44 +199,40 @@ def _compared(keys: list[str], k: int, t: float, itself: bool, ascending: bool):
             rights = np.where(whole, lefts, ends - starts - lefts)
             first_right = np.where(whole, starts, starts + lefts)
             large = lefts * rights > 4_096
-            size = n.astype(np.uint16)
-            for s, c, f, d, square in zip(starts[large].tolist(), lefts[large].tolist(), first_right[large].tolist(), rights[large].tolist(), whole[large].tolist(), strict=True):
-                for i in range(0, c, step := max(1, 400_000 // d)):
-                    e = min(i + step, c)
-                    g = f + i if square else f  # a square's rows meet later ones
-                    far = np.zeros((e - i, f + d - g), np.uint16 if wide > 3 else np.uint8)
-                    for w in range(wide):
-                        far += np.bitwise_count(short[s + i : s + e, w][:, None] ^ short[g : f + d, w][None, :])
-                    sums = np.arange(0, int(size[s : f + d].max()) * 2 + 1)
-                    limit = np.minimum(most(sums, 0), 65_000).astype(np.uint16)
-                    x, y = np.nonzero(far <= limit[size[s + i : s + e][:, None] + size[g : f + d][None, :]])
-                    x, y = x + s + i, y + g
-                    if square:
-                        x, y = x[x < y], y[x < y]
-                    yield from exact(x, y)
-            small = np.flatnonzero(~large & (lefts * rights > 0))
-            at = np.repeat(small, lefts[small])
-            if len(at):
-                a = starts[at] + np.arange(len(at)) - np.repeat(np.cumsum(lefts[small]) - lefts[small], lefts[small])
-                done = np.cumsum(rights[at])
+
+            def candidates():
+                for s, c, f, d, square in zip(starts[large].tolist(), lefts[large].tolist(), first_right[large].tolist(), rights[large].tolist(), whole[large].tolist(), strict=True):  # noqa: B023
+                    yield from dense(np.arange(s, s + c), np.arange(f, f + d), square)  # noqa: B023
+                small = np.flatnonzero(~large & (lefts * rights > 0))  # noqa: B023
+                group = np.repeat(small, lefts[small])  # noqa: B023
+                if not len(group):
+                    return
+                a = starts[group] + np.arange(len(group)) - np.repeat(np.cumsum(lefts[small]) - lefts[small], lefts[small])  # noqa: B023
+                done = np.cumsum(rights[group])  # noqa: B023
                 for i in range(0, len(a), 20_000):  # at most 4,096 pairs of a row
                     part = slice(i, i + 20_000)
                     cuts = np.unique(np.searchsorted(done[part], np.arange(done[part][0], done[part][-1] + 500_000, 500_000)))
                     for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(a[part])], strict=True):
                         if hi <= lo:
                             continue
-                        u, v = a[part][lo:hi], at[part][lo:hi]
-                        r = rights[v]
+                        u, v = a[part][lo:hi], group[part][lo:hi]
+                        r = rights[v]  # noqa: B023
                         x = np.repeat(u, r)
-                        y = np.repeat(first_right[v], r) + np.arange(len(x)) - np.repeat(np.cumsum(r) - r, r)
-                        fits = np.repeat(~whole[v], r) | (x < y)
-                        x, y = x[fits], y[fits]
-                        far = np.bitwise_count(short[x] ^ short[y]).sum(axis=1, dtype=np.int64)
-                        fits = far <= most(n[x], n[y])
-                        yield from exact(x[fits], y[fits])
+                        y = np.repeat(first_right[v], r) + np.arange(len(x)) - np.repeat(np.cumsum(r) - r, r)  # noqa: B023
+                        fits = np.repeat(~whole[v], r) | (x < y)  # noqa: B023
+                        yield close(x[fits], y[fits])
+
+            held, many = [], 0
+            for x, y in candidates():
+                held.append((x, y))
+                many += len(x)
+                if many >= 50_000:
+                    yield from exact(*map(np.concatenate, zip(*held, strict=True)))
+                    held, many = [], 0
+            if many:
+                yield from exact(*map(np.concatenate, zip(*held, strict=True)))
             if itself:  # copies meet in their own row, at its least gram
-                before = np.bincount(row_p[less], minlength=rows)
-                x = np.flatnonzero(diagonal & (left[1] > 1) & (before == 0))
+                x = np.flatnonzero(diagonal & (left[1] > 1) & (at == 0))
                 yield from listed(x, x, np.ones(len(x)), left, right, True)
 
     return run

@@ -82,3 +82,34 @@ def test_pairs_hold_the_joins_of_their_names_no_more(spark):
     assert "MapInArrow" not in plan(candidates.match_pairs(left, right, centroids))
     met = plan(similarity_join(left, right, "npi", "LALVOTERID", "full_name", "full_name", blocks=["state"]))
     assert met.count("Generate explode") <= 3 and "count(1) AS df" not in met
+
+
+def test_rows_that_meet_too_late_in_their_prefixes_are_not_compared(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from linkwright.operators import simjoin
+
+    common = [f"~{i:02}" for i in range(15)]
+    sets = [[f"{i:02x}{j}" for j in range(5)] + common for i in range(200)]  # 15 of 25 grams are shared, 17 of 23 would be needed
+    rows = [{"gram": common[0], "p": 0, "q": 0, "left": True, "diagonal": True, "s": "".join(sorted(x)), "prefix": "".join(x[:7]), "lids": [{"id": i}], "rids": None} for i, x in enumerate(sets)]
+    counted, count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: counted.append(x.size) or count(x))
+    schema = pa.schema([("gram", pa.string()), ("p", pa.int32()), ("q", pa.int32()), ("left", pa.bool_()), ("diagonal", pa.bool_()), ("s", pa.string()), ("prefix", pa.string()), ("lids", pa.list_(pa.struct([("id", pa.int64())]))), ("rids", pa.list_(pa.struct([("id", pa.int64())])))])
+    found = simjoin._compared(["gram", "p", "q"], 3, 0.7, True, True)(iter(pa.Table.from_pylist(rows, schema).to_batches()))
+    assert sum(b.num_rows for b in found) == 0 and sum(counted) == 0
+
+
+@pytest.mark.parametrize("spread", [1, 12])
+def test_similarity_join_of_many_rows_that_meet(spark, spread):
+    rng = random.Random(3)
+    hosts = ["http://one.example.net/en/", "http://one.example.net/fr/", "http://two.example.org/en/"]
+    data = [(i, rng.choice(hosts) + str(rng.randrange(10**4, 10**5)) + "x?page=123456"[: rng.randrange(spread) + 1]) for i in range(1_200)]
+    frame = spark.createDataFrame(data, "id long, name string")
+    grams = [{n[j : j + 3] for j in range(len(n) - 2)} for _, n in data]
+    want = {(i, j): s for i in range(1_200) for j in range(i + 1, 1_200) if (s := len(grams[i] & grams[j]) / len(grams[i] | grams[j])) >= 0.7}
+    got = similarity_join(frame, frame, "id", "id", "name", ascending=True).collect()
+    assert len(got) == len(want) and {(r.left_id, r.right_id): r.sim for r in got} == want
+    odd = similarity_join(frame.where("id % 3 = 0"), frame.where("id % 3 > 0"), "id", "id", "name", part=90).collect()
+    want = {(*p, s) if p[0] % 3 == 0 else (*p[::-1], s) for p, s in want.items() if (p[0] % 3 == 0) != (p[1] % 3 == 0)}
+    assert len(odd) == len(want) and {(r.left_id, r.right_id, r.sim) for r in odd} == want
